@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprints import op6_document_fingerprints
 from .mixing import OP9_SQL, op9_mix_sources
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .toxicity import op4_toxicity
@@ -10,6 +11,7 @@ from .warc import OP10_SQL, op10_warc_transactions
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op9_mix_sources": op9_mix_sources,
     "op10_warc_transactions": op10_warc_transactions,
 }
