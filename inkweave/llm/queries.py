@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op6_document_fingerprints
 from .mixing import OP9_SQL, op9_mix_sources
+from .prob_minhash import op7_near_duplicates
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op4_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_warc_transactions": op10_warc_transactions,
