@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op6_document_fingerprints
+from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP9_SQL, op9_mix_sources
 from .prob_minhash import op7_near_duplicates
 from .substring_dedup import OP1_SQL, op1_substring_dedup
@@ -12,6 +13,7 @@ from .warc import OP10_SQL, op10_warc_transactions
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_near_duplicates": op7_near_duplicates,
@@ -22,6 +24,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
+    "op3_line_dedup": OP3_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_warc_transactions": OP10_SQL,
 }
