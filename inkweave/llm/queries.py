@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontaminate
 from .fingerprints import op6_document_fingerprints
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import OP9_SQL, op9_mix_sources
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_decontaminate": op5_decontaminate,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_suffix_dedup": op8_suffix_dedup,
