@@ -36,7 +36,7 @@ def _bin(h: Column, bins: int) -> Column:
 
 def rarity(docs: DataFrame, bins: int = BINS) -> Column:
     """Constant array: how many words of the corpus fall in each bin, at most 2**18 - 1 steps (a word's rank is only an order)."""
-    counts = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), GAP)).alias("w")).groupBy(_bin(F.xxhash64("w"), bins).alias("bin")).agg(F.count("*").alias("c"))
+    counts = docs.select(F.explode_outer(F.split(F.coalesce("text", F.lit("")), GAP)).alias("w")).groupBy(_bin(F.xxhash64("w"), bins).alias("bin")).agg(F.count("*").alias("c"))
     have = {r["bin"]: r["c"] for r in counts.collect()}  # at most `bins` rows
     rank = {c: i for i, c in enumerate(sorted(set(have.values())))}
     text = ",".join(str(min(rank[have[i]], (1 << 18) - 1)) if i in have else "0" for i in range(bins))
@@ -63,7 +63,7 @@ def similar_lines(docs: DataFrame, folder: str, threshold: float = THRESHOLD) ->
     spark = docs.sparkSession
     base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), "text")
     ranks = rarity(base)
-    lines = base.select("d", F.posexplode(F.split("text", "\n")).alias("l", "line")).withColumn("s", word_keys(F.col("line"), ranks)).withColumn("n", F.size("s")).where("n > 0")
+    lines = base.select("d", F.posexplode_outer(F.split("text", "\n")).alias("l", "line")).withColumn("s", word_keys(F.col("line"), ranks)).withColumn("n", F.size("s")).where("n > 0")
     width = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     lines = lines.select("d", "l", "n", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(7)).alias("k2"), F.slice("s", F.lit(1), width).alias("rare"))
     lines = materialise(lines, folder, "lines")
@@ -90,7 +90,7 @@ def similar_lines(docs: DataFrame, folder: str, threshold: float = THRESHOLD) ->
     # words whose lines are more than two: the others meet the earliest only
     busy = posts.groupBy("w").agg(F.count("*").alias("c")).where("c > 2").select("w")
     ids = stars.select(F.col("xd").alias("d"), F.col("xl").alias("l")).unionByName(stars.select(F.col("yd").alias("d"), F.col("yl").alias("l"))).unionByName(posts.join(busy, "w", "left_semi").select("d", "l")).distinct()
-    picked = base.join(ids.groupBy("d").agg(F.collect_set("l").alias("wanted")), "d").select("d", F.posexplode(F.split("text", "\n")).alias("l", "line"), "wanted").where(F.array_contains("wanted", F.col("l")))
+    picked = base.join(ids.groupBy("d").agg(F.collect_set("l").alias("wanted")), "d").select("d", F.posexplode_outer(F.split("text", "\n")).alias("l", "line"), "wanted").where(F.array_contains("wanted", F.col("l")))
     sets = materialise(picked.dropDuplicates(["d", "l"]).select("d", "l", word_keys(F.col("line"), ranks).alias("s")), folder, "sets")
     sims = materialise(_pairs_sim(stars, sets), folder, "sims")
     gone = sims.where(F.col("sim") >= threshold - 1e-12).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()

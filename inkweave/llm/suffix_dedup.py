@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .common import materialise, release, workspace
+from .common import discard, materialise, release, workspace
 
 LENGTH, GRAM, DEPTH = 400, 16, 4
 SHARD = 2 << 20
@@ -269,12 +269,14 @@ def repeated_strings(rows: DataFrame, folder: str, length: int = LENGTH) -> Data
     release(spark)
     runs = materialise(long_enough.join(reach, "row_id").select("row_id", "text", "marks").mapInArrow(_runs(length, gap), "h long, span long, row_id long, pos int, len int"), folder, "runs")
     del reach
+    discard(spark, folder, "intervals")
     release(spark)
     spans = runs.groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "pos", "len")).alias("one"))
     mixed = spans.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
     asked = materialise(spans.join(mixed, "h", "left_semi").select("one.row_id", "one.pos", "one.len", "n"), folder, "asked")
     whole = materialise(runs.join(spans.where("n > 1").select("h", "span"), ["h", "span"], "left_semi").select("row_id", "pos", "len"), folder, "whole")
     del runs, spans, mixed
+    discard(spark, folder, "runs")
     release(spark)
     lists = asked.groupBy("row_id").agg(F.collect_list(F.struct("pos", "len", "n")).alias("marks"))
     single = long_enough.join(lists, "row_id").select("row_id", "text", "marks").mapInArrow(_strings(length), "a long, b long, row_id long, pos int, n long")
@@ -282,6 +284,7 @@ def repeated_strings(rows: DataFrame, folder: str, length: int = LENGTH) -> Data
     alone = single.where("n = 1").join(many, ["a", "b"], "left_semi").select("row_id", "pos", F.lit(1).alias("len"))
     out = materialise(whole.unionByName(alone).groupBy("row_id").agg(F.collect_list(F.struct("pos", "len")).alias("marks")), folder, "marks")
     del asked, whole, lists, single, many, alone
+    discard(spark, folder, "asked", "whole")
     release(spark)
     return out
 
