@@ -120,6 +120,20 @@ def minimisers(grams: np.ndarray, ok: np.ndarray, width: int) -> tuple[np.ndarra
     return low, high == grams
 
 
+def last_equal(grams: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """The last position of each window of `width` grams that holds the window's smallest hash."""
+    n = len(low)
+    out = np.arange(n) + width - 1
+    open_ = np.flatnonzero(grams[out] != low)
+    for back in range(2, width + 1):
+        if not len(open_):
+            break
+        at = open_ + width - back
+        out[open_] = at
+        open_ = open_[grams[at] != low[open_]]
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The rows again in slices of about `most` bytes (what fits in a core's cache); a longer document stands alone."""
     for batch in batches:

@@ -13,7 +13,7 @@ but for pairs that the distances to the earliest rule out (Jaccard distance is a
 Cases: null text has no lines and stays null; lines without words are never removed; of a line's repeats in one
 document the first stays; equal rows (doc_id and text) count as one document, other rows with one doc_id are ordered
 by line number; rows with null doc_id keep all lines; an empty table gives an empty result; extra columns are kept by
-drop_lines() and ignored by the query.
+cut_lines() and ignored by the query.
 """
 
 from __future__ import annotations
@@ -108,18 +108,31 @@ def similar_lines(docs: DataFrame, folder: str, threshold: float = THRESHOLD) ->
     return out
 
 
-def drop_lines(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
-    """docs with removed lines cut out of text, and the columns n_lines and n_removed."""
+def _with_gone(docs: DataFrame, threshold: float, folder: str | None) -> DataFrame:
     gone = similar_lines(docs, folder or workspace(docs.sparkSession), threshold)
-    parts = F.split("text", "\n")
-    joined = docs.join(gone.withColumnRenamed("doc_id", "_id").withColumnRenamed("lines", "_lines"), F.col("doc_id") == F.col("_id"), "left")
-    kept = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_lines", i)), "\n"))
-    return joined.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_removed"))
+    return docs.join(gone.withColumnRenamed("doc_id", "_gone_id").withColumnRenamed("lines", "_gone"), F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
+
+
+def _kept_text() -> Column:
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+
+
+def cut_lines(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
+    """docs with removed lines cut out of text; all documents and columns stay."""
+    return _with_gone(docs, threshold, folder).select(*[_kept_text().alias("text") if c == "text" else F.col(c) for c in docs.columns])
+
+
+def drop_lines(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
+    """doc_id, text (without removed lines), n_lines and n_removed of every document."""
+    joined = _with_gone(docs.select("doc_id", "text"), threshold, folder)
+    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
+    return joined.select("doc_id", _kept_text().alias("text"), count.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = drop_lines(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return out.select("doc_id", F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")).alias("n_lines"), "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
 
 
 OP3_SQL = r"""

@@ -12,6 +12,14 @@ from .suffix_dedup import op8_suffix_dedup
 from .toxicity import op4_toxicity
 from .warc import OP10_SQL, op10_warc_transactions
 
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
@@ -22,6 +30,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_warc_transactions": op10_warc_transactions,
+    "pipeline": pipeline,
 }
 
 ORACLES = {

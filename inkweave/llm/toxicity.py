@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytekit as bk
 from .common import documents
@@ -116,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, most_b
     return {r["at"]: r["weight"] for r in sample.coalesce(1).mapInArrow(_fit, "at long, weight double").collect()}
 
 
-def _score(weights):
+def _score(weights, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = weights.value
         w = np.zeros(1 << BITS)
@@ -130,16 +131,16 @@ def _score(weights):
             once = np.unique((doc[live] << BITS) | at[live])
             s = np.bincount(once >> BITS, weights=w[once & ((1 << BITS) - 1)], minlength=b.num_rows) + have.get(-1, 0.0)
             score = 1.0 / (1.0 + np.exp(-np.clip(s, -35, 35))) if have else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score)], [*b.schema.names, name])
 
     return run
 
 
-def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
-    """docs with the column score. docs: doc_id, text and no column named score."""
+def score(docs: DataFrame, weights: dict[int, float], name: str = "score") -> DataFrame:
+    """docs with the score of column text in a new column `name`."""
     spark = docs.sparkSession
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(_score(spark.sparkContext.broadcast(weights)), f"{fields}, score double")
+    fields = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_score(spark.sparkContext.broadcast(weights), name), fields)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **limits: int) -> DataFrame:
