@@ -78,8 +78,8 @@ def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.withColumn("sketch", sketch(F.col("text"), k)).withColumn("fingerprint", encode(F.col("sketch")))
 
 
-def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
-    """docs with next_<column> of the next document by doc_id, the first following the last.
+def in_order(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """docs with part and mark, so that next_of() finds the next document by doc_id, the first following the last.
 
     Documents are cut into ranges of doc_id with about equal numbers; the first document of each range also goes
     to the range before as its end mark, so one shuffle brings every neighbour together and no range is large.
@@ -93,14 +93,15 @@ def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) ->
     # the first doc_id of each range: at most `parts` rows, a bound that doesn't grow with the documents
     firsts = [(r["part"], r["doc_id"]) for r in placed.groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").collect()]
     if not firsts:
-        return placed.select(*docs.columns, *[F.col(c).alias(f"next_{c}") for c in columns])
+        return placed
     ends = spark.createDataFrame([(p, d, firsts[i - 1][0]) for i, (p, d) in enumerate(firsts)], "p int, first_id long, before int")
     marks = placed.join(F.broadcast(ends), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
     marks = marks.withColumn("part", F.col("before")).withColumn("mark", F.lit(True)).select(placed.columns)
     return placed.unionByName(marks).repartition("part")
 
 
-def _linked(rows: DataFrame, columns: list[str]) -> DataFrame:
+def next_of(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of in_order() with next_<column> of the next document."""
     order = Window.partitionBy("part").orderBy("mark", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not mark")
 
@@ -108,8 +109,8 @@ def _linked(rows: DataFrame, columns: list[str]) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of texts and of their edited texts: the last half of the code points gives way to the start of the next text."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(base, ["text"]).withColumn("sketch", sketch(F.col("text"), k))
-    rows = _linked(rows, ["text", "sketch"])
+    rows = in_order(base).withColumn("sketch", sketch(F.col("text"), k))
+    rows = next_of(rows, ["text", "sketch"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
