@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
 from ..registry import ORACLES, QUERIES
-from . import graph_queries, status_queries
+from . import graph_queries, status_queries, text_queries
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries", "status_queries"]
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "status_queries", "text_queries"]
