@@ -10,8 +10,8 @@ every suffix with its neighbours and so the repeated intervals. Of equal suffixe
 Phrase bounds far enough inside a string depend on its bytes alone, and `gap` is chosen so that two of them stand
 there. A string can repeat only where the phrases between such bounds are a repeated interval. These places are then
 checked exactly: strings around one anchor (the smallest hash inside the string) stand in one row, hashed as a whole;
-where whole rows agree all their strings repeat, and single strings are compared only between the distinct rows of an
-anchor, each taken once.
+where whole rows agree all their strings repeat. The distinct rows of an anchor, each taken once, are compared by
+cells of 16 strings and these by single strings, only where the bytes that a cell's strings share repeat.
 
 Cases: a null text is the empty text; texts shorter than the asked length keep all bytes; a rows' copies with one
 doc_id count as different places; a null doc_id is kept apart from others and treated like any text; an empty table
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import bytekit as bk
 from .common import discard, materialise, release, workspace
 
-LENGTH, GRAM, DEPTH = 400, 16, 4
+LENGTH, GRAM, DEPTH, CELL = 400, 16, 4, 16
 SHARD = 2 << 20
 _U = np.uint64
 _FULL = 1 << 20
@@ -231,13 +231,47 @@ def _runs(length: int, gap: int):
             row = bk.doc_of(t.bounds, at)
             span = bk.spans_hash(t.byte_prefix(), at, end + length - 1) ^ bk.mix((anchors[k[first]] - at).astype(_U))
             ids = b.column(0).to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(low[at].view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids), pa.array((at - t.bounds[row]).astype(np.int32)), pa.array((end - at).astype(np.int32))], ["h", "span", "row_id", "pos", "len"])
+            yield pa.RecordBatch.from_arrays([pa.array(low[at].view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids), pa.array((at - t.bounds[row]).astype(np.int32)), pa.array((end - at).astype(np.int32)), pa.array((anchors[k[first]] - at).astype(np.int32))], ["h", "span", "row_id", "pos", "len", "gap"])
+
+    return run
+
+
+def _cells(length: int):
+    """Asked rows cut into cells of CELL neighbouring strings, aligned by their distance to the anchor.
+
+    a, b: hash of the bytes that all strings of the cell share; none of them repeats where these don't. span: hash of
+    all bytes they cover; where it repeats all of them do (cells that the document cuts off have a span of their own).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bk.slices(batches, "text"):
+            t = bk.Texts(b.column(1))
+            marks = b.column(2)
+            rows = np.repeat(np.arange(t.n), marks.value_lengths().to_numpy())
+            flat = marks.flatten()
+            pos, size, gap = (flat.field(f).to_numpy().astype(np.int64) for f in ("pos", "len", "gap"))
+            # strings by falling distance to the anchor; cell c holds distances c * CELL ... c * CELL + CELL - 1
+            high, low = gap // CELL, (gap - size + 1) // CELL
+            many = high - low + 1
+            of = np.repeat(np.arange(len(rows)), many)
+            cell = high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+            base, anchor = t.bounds[rows[of]], t.bounds[rows[of]] + pos[of] + gap[of]
+            first = anchor - (cell * CELL + CELL - 1)  # the cell's own first string, maybe outside
+            start, stop = np.maximum(first, base + pos[of]), np.minimum(first + CELL, base + pos[of] + size[of])
+            last_start = t.bounds[rows[of] + 1] - length
+            whole = (first >= base) & (first + CELL - 1 <= last_start)
+            a, c = (bk.spans_hash(t.byte_prefix(i), first + CELL - 1, first + length, i) ^ bk.mix(cell.astype(_U)) for i in (0, 1))
+            edge = np.clip(first, base, None), np.minimum(first + CELL - 1 + length, t.bounds[rows[of] + 1])
+            span = bk.spans_hash(t.byte_prefix(), *edge)
+            ids = b.column(0).to_numpy(zero_copy_only=False)[rows[of]]
+            span = np.where(whole, span, bk.mix(ids.astype(np.int64).view(_U) * _U(31) + start.astype(_U) - base.astype(_U)))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((c >> _U(32)).astype(np.uint32).view(np.int32)), pa.array(span.view(np.int64)), pa.array(ids), pa.array((start - base).astype(np.int32)), pa.array((stop - start).astype(np.int32))], ["a", "b", "span", "row_id", "pos", "len"])
 
     return run
 
 
 def _strings(length: int):
-    """Hashes of single strings of the asked rows; n: how many places their whole row has."""
+    """96 bits of hash of each single string of the asked rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bk.slices(batches, "text"):
@@ -248,10 +282,10 @@ def _strings(length: int):
             size = flat.field("len").to_numpy().astype(np.int64)
             start = np.repeat(t.bounds[rows] + flat.field("pos").to_numpy(), size)
             at = start + np.arange(len(start)) - np.repeat(np.cumsum(size) - size, size)
-            row, many = np.repeat(rows, size), np.repeat(flat.field("n").to_numpy(), size)
+            row = np.repeat(rows, size)
             a, c = (bk.spans_hash(t.byte_prefix(i), at, at + length, i) for i in (0, 1))
             ids = b.column(0).to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids), pa.array((at - t.bounds[row]).astype(np.int32)), pa.array(many)], ["a", "b", "row_id", "pos", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((c >> _U(32)).astype(np.uint32).view(np.int32)), pa.array(ids), pa.array((at - t.bounds[row]).astype(np.int32))], ["a", "b", "row_id", "pos"])
 
     return run
 
@@ -267,24 +301,38 @@ def repeated_strings(rows: DataFrame, folder: str, length: int = LENGTH) -> Data
     reach = materialise(reach, folder, "intervals")
     del order
     release(spark)
-    runs = materialise(long_enough.join(reach, "row_id").select("row_id", "text", "marks").mapInArrow(_runs(length, gap), "h long, span long, row_id long, pos int, len int"), folder, "runs")
+    runs = materialise(long_enough.join(reach, "row_id").select("row_id", "text", "marks").mapInArrow(_runs(length, gap), "h long, span long, row_id long, pos int, len int, gap int"), folder, "runs")
     del reach
     discard(spark, folder, "intervals")
     release(spark)
-    spans = runs.groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "pos", "len")).alias("one"))
+    spans = runs.groupBy("h", "span").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "pos", "len", "gap")).alias("one"))
     mixed = spans.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
-    asked = materialise(spans.join(mixed, "h", "left_semi").select("one.row_id", "one.pos", "one.len", "n"), folder, "asked")
+    asked = materialise(spans.join(mixed, "h", "left_semi").select("one.row_id", "one.pos", "one.len", "one.gap", "n"), folder, "asked")
     whole = materialise(runs.join(spans.where("n > 1").select("h", "span"), ["h", "span"], "left_semi").select("row_id", "pos", "len"), folder, "whole")
     del runs, spans, mixed
     discard(spark, folder, "runs")
     release(spark)
-    lists = asked.groupBy("row_id").agg(F.collect_list(F.struct("pos", "len", "n")).alias("marks"))
-    single = long_enough.join(lists, "row_id").select("row_id", "text", "marks").mapInArrow(_strings(length), "a long, b long, row_id long, pos int, n long")
-    many = single.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
-    alone = single.where("n = 1").join(many, ["a", "b"], "left_semi").select("row_id", "pos", F.lit(1).alias("len"))
-    out = materialise(whole.unionByName(alone).groupBy("row_id").agg(F.collect_list(F.struct("pos", "len")).alias("marks")), folder, "marks")
-    del asked, whole, lists, single, many, alone
-    discard(spark, folder, "asked", "whole")
+    def over(rows_of: DataFrame, fields: list[str], how, schema: str) -> DataFrame:
+        lists = rows_of.groupBy("row_id").agg(F.collect_list(F.struct(*fields)).alias("marks"))
+        return long_enough.join(lists, "row_id").select("row_id", "text", "marks").mapInArrow(how, schema)
+
+    cells = materialise(over(asked, ["pos", "len", "gap"], _cells(length), "a long, b int, span long, row_id long, pos int, len int"), folder, "cells")
+    release(spark)
+    cores = cells.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b")
+    live = materialise(cells.join(cores, ["a", "b"], "left_semi"), folder, "live")
+    kinds = live.groupBy("a", "b", "span").agg(F.count("*").alias("c"), F.min(F.struct("row_id", "pos", "len")).alias("one"))
+    full = materialise(live.join(kinds.where("c > 1").select("a", "b", "span"), ["a", "b", "span"], "left_semi").select("row_id", "pos", "len"), folder, "full")
+    mixed = kinds.groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
+    parts_of = materialise(kinds.join(mixed, ["a", "b"], "left_semi").select("one.row_id", "one.pos", "one.len", "c"), folder, "parts")
+    del cores, live, kinds, mixed, cells
+    discard(spark, folder, "asked", "cells", "live")
+    release(spark)
+    many = materialise(over(parts_of, ["pos", "len"], _strings(length), "a long, b int, row_id long, pos int").groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b"), folder, "many")
+    release(spark)
+    alone = over(parts_of.where("c = 1"), ["pos", "len"], _strings(length), "a long, b int, row_id long, pos int").join(many, ["a", "b"], "left_semi").select("row_id", "pos", F.lit(1).alias("len"))
+    out = materialise(whole.unionByName(full).unionByName(alone).groupBy("row_id").agg(F.collect_list(F.struct("pos", "len")).alias("marks")), folder, "marks")
+    del asked, whole, full, parts_of, many, alone
+    discard(spark, folder, "whole", "full", "parts", "many")
     release(spark)
     return out
 
