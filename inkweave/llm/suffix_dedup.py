@@ -271,7 +271,7 @@ def _cells(length: int):
 
 
 def _strings(length: int):
-    """96 bits of hash of each single string of the asked rows."""
+    """96 bits of hash of each single string of the asked rows; c: how many places its whole row has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bk.slices(batches, "text"):
@@ -282,10 +282,10 @@ def _strings(length: int):
             size = flat.field("len").to_numpy().astype(np.int64)
             start = np.repeat(t.bounds[rows] + flat.field("pos").to_numpy(), size)
             at = start + np.arange(len(start)) - np.repeat(np.cumsum(size) - size, size)
-            row = np.repeat(rows, size)
+            row, copies = np.repeat(rows, size), np.repeat(flat.field("c").to_numpy(), size)
             a, c = (bk.spans_hash(t.byte_prefix(i), at, at + length, i) for i in (0, 1))
             ids = b.column(0).to_numpy(zero_copy_only=False)[row]
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((c >> _U(32)).astype(np.uint32).view(np.int32)), pa.array(ids), pa.array((at - t.bounds[row]).astype(np.int32))], ["a", "b", "row_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array((c >> _U(32)).astype(np.uint32).view(np.int32)), pa.array(ids), pa.array((at - t.bounds[row]).astype(np.int32)), pa.array(copies)], ["a", "b", "row_id", "pos", "c"])
 
     return run
 
@@ -327,12 +327,13 @@ def repeated_strings(rows: DataFrame, folder: str, length: int = LENGTH) -> Data
     del cores, live, kinds, mixed, cells
     discard(spark, folder, "asked", "cells", "live")
     release(spark)
-    many = materialise(over(parts_of, ["pos", "len"], _strings(length), "a long, b int, row_id long, pos int").groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b"), folder, "many")
+    single = materialise(over(parts_of, ["pos", "len", "c"], _strings(length), "a long, b int, row_id long, pos int, c long"), folder, "single")
     release(spark)
-    alone = over(parts_of.where("c = 1"), ["pos", "len"], _strings(length), "a long, b int, row_id long, pos int").join(many, ["a", "b"], "left_semi").select("row_id", "pos", F.lit(1).alias("len"))
+    many = single.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    alone = single.where("c = 1").join(many, ["a", "b"], "left_semi").select("row_id", "pos", F.lit(1).alias("len"))
     out = materialise(whole.unionByName(full).unionByName(alone).groupBy("row_id").agg(F.collect_list(F.struct("pos", "len")).alias("marks")), folder, "marks")
-    del asked, whole, full, parts_of, many, alone
-    discard(spark, folder, "whole", "full", "parts", "many")
+    del asked, whole, full, parts_of, single, many, alone
+    discard(spark, folder, "whole", "full", "parts", "single")
     release(spark)
     return out
 
