@@ -1,14 +1,14 @@
 """Operator 3, line dedup (native): exact set-similarity join of lines.
 
-A line is a set of words. Words are ordered by rarity (counts of all words of the corpus in 65,536 hash bins, a bound
+A line is a set of words. Words are ordered by rarity (counts of all words of the corpus in 262,144 hash bins, a bound
 that doesn't grow; ties by hash), and lines that reach the similarity share a word among their rarest ones: of n words
 the first n - ceil(t n) + 1. Lines meet on these words; pairs that the sizes or the word's positions rule out are
 dropped, the others verified by exact Jaccard similarity of their word sets. A line goes if an earlier one (smaller
 doc_id, or the same and a smaller line number) is similar, whether that one stays or goes.
 
 Lines of one word set are one candidate, so copies of a line never meet in pairs. Of the lines that share a rare word
-all are compared with the earliest; only those that this one doesn't remove are compared with the others before them,
-but for pairs that the distances to the earliest rule out (Jaccard distance is a metric).
+all are compared with the earliest; only those that this one doesn't remove are compared with the others before them.
+Pairs also pass 128 marker bits per line, which bound from below how many words one line has and the other not.
 
 Cases: null text has no lines and stays null; lines without words are never removed; of a line's repeats in one
 document the first stays; equal rows (doc_id and text) count as one document, other rows with one doc_id are ordered
@@ -18,12 +18,12 @@ cut_lines() and ignored by the query.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAP, documents, materialise, release, workspace
+from .common import GAP, discard, documents, materialise, release, workspace
 
-THRESHOLD, BINS = 0.8, 1 << 16
+THRESHOLD, BINS = 0.8, 1 << 18
 
 
 def _once(value: Column, use) -> Column:
@@ -50,60 +50,74 @@ def word_keys(line: Column, ranks: Column, bins: int = BINS) -> Column:
     return F.sort_array(F.array_distinct(F.transform(ws, key)))
 
 
-def _pairs_sim(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left = sets.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("s").alias("xs"))
-    right = sets.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("s").alias("ys"))
-    both = pairs.join(left, ["xd", "xl"]).join(right, ["yd", "yl"])
+def _bits(s: Column, word: int) -> Column:
+    """64 of a line's 128 marker bits: each key sets one."""
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(s, F.lit(0).cast("long"), lambda acc, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * word, acc.bitwiseOR(one(k))).otherwise(acc))
+
+
+def _sims(pairs: DataFrame, base: DataFrame, ranks: Column) -> DataFrame:
+    """pairs (xd, xl, yd, yl) with sim, from the lines' texts."""
+    ids = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("d"), F.col("xl").alias("l")), F.struct(F.col("yd").alias("d"), F.col("yl").alias("l")))).alias("i")).select("i.d", "i.l").distinct()
+    picked = base.join(ids.groupBy("d").agg(F.collect_set("l").alias("wanted")), "d").select("d", "wanted", F.posexplode_outer(F.split("text", "\n")).alias("l", "line")).where(F.array_contains("wanted", F.col("l")))
+    sets = picked.dropDuplicates(["d", "l"]).select("d", "l", word_keys(F.col("line"), ranks).alias("s"))
+    both = pairs.join(sets.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("s").alias("xs")), ["xd", "xl"]).join(sets.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("s").alias("ys")), ["yd", "yl"])
     common = F.size(F.array_intersect("xs", "ys"))
-    return both.withColumn("sim", common / (F.size("xs") + F.size("ys") - common)).drop("xs", "ys")
+    return both.withColumn("sim", common / (F.size("xs") + F.size("ys") - common)).select("xd", "xl", "yd", "yl", "sim")
 
 
 def similar_lines(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, lines: sorted numbers (from 0) of the lines that have a similar earlier one."""
     spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), "text")
     ranks = rarity(base)
     lines = base.select("d", F.posexplode_outer(F.split("text", "\n")).alias("l", "line")).withColumn("s", word_keys(F.col("line"), ranks)).withColumn("n", F.size("s")).where("n > 0")
     width = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    lines = lines.select("d", "l", "n", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(7)).alias("k2"), F.slice("s", F.lit(1), width).alias("rare"))
-    lines = materialise(lines, folder, "lines")
-    one = lines.groupBy("k1", "k2").agg(F.min("d").alias("d"), F.count("*").alias("copies"))
-    firsts = lines.join(one.where("copies > 1").select("k1", "k2", F.col("d").alias("lo")), ["k1", "k2"], "left")
-    # the first line of each word set: alone, or the smallest line of the smallest document
-    many = firsts.where("d = lo").groupBy("k1", "k2").agg(F.min("l").alias("first_l"), F.min("lo").alias("first_d"))
-    many = materialise(many, folder, "many")
-    marked = materialise(lines.join(many, ["k1", "k2"], "left"), folder, "marked")
-    del lines, one, firsts, many
+    lines = materialise(lines.select("d", "l", "n", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(7)).alias("k2"), _bits(F.col("s"), 0).alias("b0"), _bits(F.col("s"), 1).alias("b1"), F.slice("s", F.lit(1), width).alias("rare")), folder, "lines")
+    # the first line of each word set that more than one line has
+    keys = lines.select("k1", "k2", "d", "l")
+    low = keys.groupBy("k1", "k2").agg(F.min("d").alias("first_d"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    many = keys.join(low, ["k1", "k2"]).where("d = first_d").groupBy("k1", "k2", "first_d").agg(F.min("l").alias("first_l"))
+    again = materialise(keys.join(many, ["k1", "k2"]).where("not (d = first_d and l = first_l)").select("d", "l"), folder, "again")
+    del low, many, keys
     release(spark)
-    again = marked.where("first_d is not null and not (d = first_d and l = first_l)")
-    reps = marked.where("first_d is null or (d = first_d and l = first_l)")
-    posts = reps.select("d", "l", "n", F.posexplode("rare").alias("pos", "w"))
-    common = posts.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    posts = materialise(posts.join(common, "w"), folder, "posts")
-    lead = posts.groupBy("w").agg(F.min(F.struct("d", "l", "n", "pos")).alias("e"))
     need = lambda a, b: F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
-    fits = lambda na, pa, nb, pb: (F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9) & (1 + F.least(na - pa, nb - pb) - 1 >= need(na, nb))
-    led = posts.join(lead, "w").where(~((F.col("d") == F.col("e.d")) & (F.col("l") == F.col("e.l"))))
-    stars = led.where(fits(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos"))).select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("e.d").alias("yd"), F.col("e.l").alias("yl")).distinct()
+
+    def may(x, y) -> Column:
+        """What sizes, positions and marker bits leave: a bit that only one line has stands for a word that only it has."""
+        both = need(x("n"), y("n"))
+        off = lambda a, b: F.bit_count(a("b0").bitwiseAND(F.bitwise_not(b("b0")))) + F.bit_count(a("b1").bitwiseAND(F.bitwise_not(b("b1"))))
+        sizes = F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * threshold - 1e-9
+        return sizes & (F.least(x("n") - x("pos"), y("n") - y("pos")) >= both) & (off(x, y) <= x("n") - both) & (off(y, x) <= y("n") - both)
+
+    def posts(rows: DataFrame) -> DataFrame:
+        return rows.select("d", "l", "n", "b0", "b1", "flag", F.posexplode("rare").alias("pos", "w")).repartition(parts, "w")
+
+    reps = lines.join(again, ["d", "l"], "left_anti").withColumn("flag", F.lit(False))
+    order = Window.partitionBy("w").orderBy("d", "l")
+    led = posts(reps).withColumn("e", F.first(F.struct("d", "l", "n", "pos", "b0", "b1")).over(order)).where("not (d = e.d and l = e.l)")
+    stars = led.where(may(F.col, lambda c: F.col(f"e.{c}"))).select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("e.d").alias("yd"), F.col("e.l").alias("yl")).distinct()
     stars = materialise(stars, folder, "star-pairs")
-    tied = led.select("w", "d", "l", "n", "pos", F.col("e.d").alias("yd"), F.col("e.l").alias("yl"))
-    # words whose lines are more than two: the others meet the earliest only
-    busy = posts.groupBy("w").agg(F.count("*").alias("c")).where("c > 2").select("w")
-    ids = stars.select(F.col("xd").alias("d"), F.col("xl").alias("l")).unionByName(stars.select(F.col("yd").alias("d"), F.col("yl").alias("l"))).unionByName(posts.join(busy, "w", "left_semi").select("d", "l")).distinct()
-    picked = base.join(ids.groupBy("d").agg(F.collect_set("l").alias("wanted")), "d").select("d", F.posexplode_outer(F.split("text", "\n")).alias("l", "line"), "wanted").where(F.array_contains("wanted", F.col("l")))
-    sets = materialise(picked.dropDuplicates(["d", "l"]).select("d", "l", word_keys(F.col("line"), ranks).alias("s")), folder, "sets")
-    sims = materialise(_pairs_sim(stars, sets), folder, "sims")
-    gone = sims.where(F.col("sim") >= threshold - 1e-12).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()
+    del led
+    release(spark)
+    sims = materialise(_sims(stars, base, ranks), folder, "sims")
+    release(spark)
+    gone = sims.where(F.col("sim") >= threshold - 1e-12).select("xd", "xl").distinct()
     # what the earliest lines leave: compared with the other earlier lines of the same word
-    placed = tied.join(busy, "w", "left_semi").join(sims.withColumnRenamed("xd", "d").withColumnRenamed("xl", "l"), ["d", "l", "yd", "yl"], "left").select("w", "d", "l", "n", "pos", F.coalesce("sim", F.lit(-1.0)).alias("sim"))
-    x = placed.join(gone, ["d", "l"], "left_anti").select("w", F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("sim").alias("x_sim"))
-    y = placed.select("w", F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("sim").alias("y_sim"))
-    apart = (F.col("x_sim") >= 0) & (F.col("y_sim") >= 0) & (F.abs(F.col("x_sim") - F.col("y_sim")) > 1 - threshold + 1e-9)
-    before = (F.col("yd") < F.col("xd")) | ((F.col("yd") == F.col("xd")) & (F.col("yl") < F.col("xl")))
-    more = x.join(y, "w").where(before & ~apart & fits(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp"))).select("xd", "xl", "yd", "yl").distinct()
-    late = _pairs_sim(more, sets).where(F.col("sim") >= threshold - 1e-12).select(F.col("xd").alias("d"), F.col("xl").alias("l"))
-    every = again.select("d", "l").unionByName(gone).unionByName(late)
-    out = materialise(every.groupBy("d").agg(F.sort_array(F.collect_set("l")).alias("lines")).withColumnRenamed("d", "doc_id"), folder, "removed")
+    flagged = reps.drop("flag").join(gone.select(F.col("xd").alias("d"), F.col("xl").alias("l"), F.lit(True).alias("flag")), ["d", "l"], "left")
+    every = posts(flagged)
+    x, y = every.where("flag is null").alias("x"), every.alias("y")
+    before = (F.col("y.d") < F.col("x.d")) | ((F.col("y.d") == F.col("x.d")) & (F.col("y.l") < F.col("x.l")))
+    more = x.join(y, (F.col("x.w") == F.col("y.w")) & before & may(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
+    more = more.select(F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")).distinct().join(stars, ["xd", "xl", "yd", "yl"], "left_anti")
+    more = materialise(more, folder, "more-pairs")
+    discard(spark, folder, "lines")
+    del reps, flagged, every, x, y
+    release(spark)
+    late = _sims(more, base, ranks).where(F.col("sim") >= threshold - 1e-12).select("xd", "xl")
+    found = again.unionByName(gone.unionByName(late).select(F.col("xd").alias("d"), F.col("xl").alias("l")))
+    out = materialise(found.groupBy("d").agg(F.sort_array(F.collect_set("l")).alias("lines")).withColumnRenamed("d", "doc_id"), folder, "removed")
     release(spark)
     return out
 
