@@ -9,7 +9,7 @@ Documents with equal shingle sets are one representative. Representatives that a
 candidates: in each bucket all are compared with its leader, the document that shares most buckets (in a group of
 edited copies that is the one nearest to all). What doesn't reach the leader's class is compared with members of other
 classes, but for pairs that the distances to the leader rule out (Jaccard distance is a metric, so these can't be
-similar). A link is an exact Jaccard similarity of the shingle sets of `threshold` or more.
+similar), or whose shingles that no other candidate has are too many. A link is an exact Jaccard similarity of the shingle sets of `threshold` or more.
 
 Cases: a null text is the empty text; documents without words are one class; a text of one to four words is one
 shingle; rows with equal doc_id count once in links and each get a row; a null doc_id is a class of its own, with
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytekit as bk
-from .common import components, documents, materialise, release, workspace
+from .common import components, discard, documents, materialise, release, workspace
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 26, 5, 0.8
 _U = np.uint64
@@ -103,11 +103,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "s"])
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) of doc_ids with sim, the exact Jaccard similarity of their shingle sets."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    text = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    sets = text.select("doc_id", "text").mapInArrow(_sets, "id long, s array<long>")
+def shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, s (distinct shingle hashes) of the documents whose doc_id is in ids (id)."""
+    text = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return text.select("doc_id", "text").mapInArrow(_sets, "id long, s array<long>")
+
+
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) of doc_ids with sim, the exact Jaccard similarity of their shingle sets (id, s)."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("sim"))
@@ -130,8 +133,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     leaders = filled.groupBy("band").agg(F.max(F.struct("fame", (-F.col("id")).alias("neg"))).alias("m")).select("band", (-F.col("m.neg")).alias("lead"))
     led = filled.join(leaders, "band").select("band", "id", "lead")
     pairs = led.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    stars = materialise(verify(pairs, known), folder, "stars")
-    del sketch, one, firsts, buckets, shared, fame, leaders, pairs
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    stars = materialise(verify(pairs, shingle_sets(ends, known)), folder, "stars")
+    del sketch, one, firsts, buckets, shared, fame, leaders, pairs, ends
     release(spark)
     links = stars.where(F.col("sim") >= threshold).select("a", "b")
     classes = components(links, folder, "classes")
@@ -139,14 +143,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     placed = placed.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id"))
     split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("band")
     rest = materialise(placed.join(split, "band", "left_semi"), folder, "rest")
-    # leftovers (below the threshold to their leader) against members of other classes that the metric admits
-    left = rest.where(F.col("sim") < threshold).select("band", F.col("id").alias("x"), F.col("sim").alias("sx"), F.col("root").alias("rx"))
-    right = rest.where("sim < 1").select("band", F.col("id").alias("y"), F.col("sim").alias("sy"), F.col("root").alias("ry"))
+    # leftovers (below the threshold to their leader) against members of other classes, but for pairs that can't be
+    # similar: by the metric, or because shingles that no other document of these buckets has are too many
+    sets = materialise(shingle_sets(rest.select("id").distinct(), known), folder, "rest-sets")
+    own = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
+    sizes = sets.select("id", F.size("s").alias("n")).join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("shared"))
+    rest = materialise(rest.join(sizes, "id"), folder, "rest-sizes")
+    left = rest.where(F.col("sim") < threshold).where(F.col("shared") >= F.col("n") * threshold - 1e-9).select("band", F.col("id").alias("x"), F.col("sim").alias("sx"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("shared").alias("hx"))
+    right = rest.where("sim < 1").where(F.col("shared") >= F.col("n") * threshold - 1e-9).select("band", F.col("id").alias("y"), F.col("sim").alias("sy"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("shared").alias("hy"))
     near = F.abs(F.col("sx") - F.col("sy")) <= (1 - threshold) + 1e-9
-    more = left.join(right, "band").where((F.col("rx") != F.col("ry")) & near & ((F.col("sy") >= threshold) | (F.col("x") < F.col("y"))))
+    most = F.least("hx", "hy")
+    able = most >= threshold * (F.col("nx") + F.col("ny") - most) - 1e-9
+    more = left.join(right, (left["band"] == right["band"]) & (F.col("rx") != F.col("ry")) & near & able & ((F.col("sy") >= threshold) | (F.col("x") < F.col("y"))))
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    extra = materialise(verify(more, known).where(F.col("sim") >= threshold).select("a", "b"), folder, "extra")
-    del placed, split, rest, left, right, more, led
+    extra = materialise(verify(more, sets).where(F.col("sim") >= threshold).select("a", "b"), folder, "extra")
+    del placed, split, rest, left, right, more, led, sets, own, sizes
+    discard(spark, folder, "rest-sets")
     release(spark)
     if not extra.isEmpty():
         links = links.unionByName(extra)
