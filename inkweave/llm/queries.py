@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import op2_chat_format
 from .decontaminate import op5_decontaminate
 from .fingerprints import op6_document_fingerprints
 from .line_dedup import OP3_SQL, op3_line_dedup
@@ -22,6 +23,7 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_chat_format": op2_chat_format,
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_decontaminate": op5_decontaminate,
