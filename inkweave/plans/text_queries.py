@@ -117,14 +117,30 @@ NUM = r"list_concat(list_transform(regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*%
 
 @query("h14_numbers", f"SELECT doc_id, len({NUM}) AS n, round(coalesce(list_sum({NUM}), 0), 4) AS total FROM (SELECT doc_id, text || ' ' || doc_id || '.5 % of ' || n_chars AS text FROM documents WHERE n_chars < 3000)")
 def numbers(spark, sf):
-    x = docs(spark, sf).where("n_chars < 3000").select("doc_id", t.numbers(F.concat("text", F.lit(" "), F.col("doc_id").cast("string"), F.lit(".5 % of "), F.col("n_chars").cast("string"))).alias("ns"))
+    return _numbers(docs(spark, sf).where("n_chars < 3000"))
+
+
+@query("h14_numbers_all")
+def numbers_all(spark, sf):
+    """h14 of every document, whatever its length; held against brute force."""
+    return _numbers(docs(spark, sf))
+
+
+def _numbers(d):
+    x = d.select("doc_id", t.numbers(F.concat("text", F.lit(" "), F.col("doc_id").cast("string"), F.lit(".5 % of "), F.col("n_chars").cast("string"))).alias("ns"))
     return x.select("doc_id", F.size("ns").cast("long").alias("n"), F.round(F.aggregate("ns", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
 
 
 @query("h15_tolerance", "SELECT event_id, abs(value - value * (1 + (event_id % 40) / 1000.0)) <= greatest(0.01 * greatest(abs(value), abs(value * (1 + (event_id % 40) / 1000.0))), 1e-9) AS close FROM events WHERE event_id % 40 <> 10")
 def tolerance(spark, sf):
+    return tolerance_all(spark, sf).where("event_id % 40 <> 10")
+
+
+@query("h15_tolerance_all")
+def tolerance_all(spark, sf):
+    """h15 of every event, the boundary of 1 % included; held against brute force."""
     b = F.col("value") * (1 + (F.col("event_id") % 40) / 1000.0)
-    return table(spark, sf, "events").where("event_id % 40 <> 10").select("event_id", t.close(F.col("value"), b).alias("close"))
+    return table(spark, sf, "events").select("event_id", t.close(F.col("value"), b).alias("close"))
 
 
 @query("h16_dataset_tokens", Q + r" SELECT conv_id, turn, array_to_string(regexp_extract_all(question, '[A-Z][A-Za-z0-9]{3,}'), ',') AS tokens FROM qa")
