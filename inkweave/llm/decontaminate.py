@@ -1,8 +1,11 @@
 """Operator 5, benchmark decontamination (native): windows of canonical templates, hash join, slot consistency.
 
-Texts are cut into tokens; numbers, names (capitalised words that don't open a sentence) and units after numbers
-become typed placeholders, the rest is lower-case. Windows of `window` template tokens (a shorter item: all of it) are
-joined with the benchmark's by hash and compared token by token. The values in the placeholders of a window must map
+Texts are cut into tokens; numbers, names (capitalised words after a word, comma, colon or semicolon and one space) and
+units after numbers become typed placeholders, the rest is lower-case. A capitalised word anywhere else (it opens a text,
+sentence, line, bracket or quotation) may be a name or not: it agrees with any name, with any word that opens likewise and
+with its own lower-case word; unless both sides hold the same word it is a slot. So windows are hashed in two ways, with
+all such words as names and with all as literals, and join by either. Windows of `window` template tokens (a shorter
+item: all of it) are joined with the benchmark's by hash and compared token by token. The values in the placeholders of a window must map
 one to one between document and item, so that a re-parameterised question matches and a chance frame doesn't; at
 least half of a window's tokens must be literal, unless every value is the item's own. A document leaks an item if
 windows that start at a quarter or more of the item's window places match.
@@ -24,13 +27,13 @@ from pyspark.sql import functions as F
 from .common import documents, materialise, workspace
 
 WINDOW, COVER, BROADCAST_ROWS, LOG_BITS = 8, 0.25, 200_000, 22
-NUMBER, NAME, UNIT = "\u0002", "\u0003", "\u0004"
+NUMBER, NAME, UNIT, FIRST = "\u0002", "\u0003", "\u0004", "\u0005"
 #: Units of measure that may follow a number: fixed values.
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "l", "ml", "s", "ms", "min", "h", "hour", "hours", "minutes", "seconds", "days", "weeks", "years", "inch", "inches", "feet", "ft", "miles", "mph", "lb", "lbs", "oz", "percent", "dollars", "euros", "usd", "eur", "w", "kw", "v", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb")
 
 
 #: White space and punctuation of ASCII, Latin-1, general and CJK punctuation, but for the underscore and the marks.
-GAPS = "[\u0000\u0001\u0005-/:-@\\[-\\^`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]+"
+GAPS = "[\u0000\u0001\u0006-/:-@\\[-\\^`{-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u2000-\u206f\u3000-\u303f]+"
 
 
 def _once(value: Column, use) -> Column:
@@ -38,46 +41,59 @@ def _once(value: Column, use) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case tokens; a first character of NUMBER, NAME or UNIT marks the value of a placeholder."""
+    """Lower-case tokens; a first character of NUMBER, NAME, UNIT or FIRST (perhaps a name) marks the value of a placeholder."""
     # each pattern opens with a cheap test, since it is tried at every character
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r" (?=\p{Lu})(?<=[\p{L}\p{N},;:] )(\p{Lu}\p{L}+)", f" {NAME}$1")
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<![\p{L}\p{N}_" + NAME + r"])(\p{Lu}\p{L}+)", f"{FIRST}$1")
     t = F.regexp_replace(F.lower(t), r"([0-9])[.,](?=[0-9])", "$1_")
     t = F.regexp_replace(t, r"(?=[0-9])(?<![\p{L}\p{N}_" + NAME + r"])([0-9][0-9_]*)(?:[ ]?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}]))?", f"{NUMBER}$1 {UNIT}$2 ")
     return F.filter(F.split(t, GAPS), lambda w: ~w.isin("", UNIT))
 
 
-def _mark(w: Column) -> Column:
-    return F.when(w < F.lit("\u0005"), F.substring(w, 1, 1)).otherwise(w)
+def _mark(w: Column, named: bool = True) -> Column:
+    """Template token: a placeholder's mark or the word; of FIRST words the mark of a name or the word."""
+    first = F.lit(NAME) if named else F.substring(w, 2, 1 << 20)
+    return F.when(w >= F.lit("\u0006"), w).when(w.startswith(FIRST), first).otherwise(F.substring(w, 1, 1))
 
 
-def _hashes(toks: Column, size: int) -> Column:
+def _hashes(toks: Column, size: int, named: bool = True) -> Column:
     """Hash of each window of `size` template tokens."""
-    per = F.transform(toks, lambda w: F.xxhash64(_mark(w)))
+    per = F.transform(toks, lambda w: F.xxhash64(_mark(w, named)))
     return _once(per, lambda h: F.when(F.size(h) >= size, F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(size)]))).otherwise(F.array().cast("array<bigint>")))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, size, at, hash, item_tokens, places (windows of the item)."""
+    """item_id, size, at, hash (a row for each way to hash), item_tokens, places (windows of the item)."""
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("toks")).where("size(toks) > 0")
     items = items.withColumn("size", F.least(F.size("toks"), F.lit(window))).withColumn("places", F.size("toks") - F.col("size") + 1)
     cuts = F.transform(F.sequence(F.lit(1), F.col("places")), lambda i: F.slice("toks", i, F.col("size")))
     out = items.select("item_id", "size", "places", F.posexplode(cuts).alias("at", "item_tokens"))
-    hashed = F.lit(None).cast("long")
-    for n in range(1, window + 1):
-        hashed = F.when(F.col("size") == n, F.get(_hashes(F.col("item_tokens"), n), F.lit(0))).otherwise(hashed)
-    return out.withColumn("hash", hashed)
+    ways = []
+    for named in (True, False):
+        hashed = F.lit(None).cast("long")
+        for n in range(1, window + 1):
+            hashed = F.when(F.col("size") == n, F.get(_hashes(F.col("item_tokens"), n, named), F.lit(0))).otherwise(hashed)
+        ways.append(hashed)
+    return out.withColumn("hash", F.explode(F.array_distinct(F.array(*ways))))
 
 
 def consistent(doc: Column, item: Column) -> Column:
     """Whether two windows have one template, with values that map one to one, and literal tokens enough or equal values."""
-    same = F.forall(F.arrays_zip(doc.alias("d"), item.alias("i")), lambda p: _mark(p["d"]) == _mark(p["i"]))
-    slots = F.filter(F.arrays_zip(doc.alias("d"), item.alias("i")), lambda p: _mark(p["i"]) != p["i"])
+    pairs = F.arrays_zip(doc.alias("d"), item.alias("i"))
+    same = F.forall(pairs, lambda p: (_mark(p["d"]) == _mark(p["i"])) | (_mark(p["d"], False) == _mark(p["i"], False)))
+    # places where both hold one word as a literal, whether it opens or not, are no slots
+    slots = F.filter(pairs, lambda p: (_mark(p["i"], False) < F.lit("\u0006")) | (_mark(p["d"], False) != _mark(p["i"], False)))
+    slots = F.transform(slots, lambda p: F.struct(_value(p["d"]).alias("d"), _value(p["i"]).alias("i")))
     one = F.size(F.array_distinct(slots))
     to = (one == F.size(F.array_distinct(F.transform(slots, lambda p: p["d"])))) & (one == F.size(F.array_distinct(F.transform(slots, lambda p: p["i"]))))
     enough = (F.size(slots) * 2 <= F.size(doc)) | F.forall(slots, lambda p: p["d"] == p["i"])
     return same & to & enough
 
 
+def _value(w: Column) -> Column:
+    return F.when(w.startswith(FIRST), F.concat(F.lit(NAME), F.substring(w, 2, 1 << 20))).otherwise(w)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, folder: str | None = None) -> DataFrame:
     """doc_id, item_id, n_places, coverage: the pairs where coverage reaches `cover`."""
     spark, folder = docs.sparkSession, folder or workspace(docs.sparkSession)
@@ -94,7 +110,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: fl
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text").cast("string")).alias("toks"))
     found = None
     for n in sizes:
-        places = F.filter(F.transform(_hashes(F.col("toks"), n), lambda h, i: F.struct(h.alias("hash"), i.alias("i"))), lambda p: hit(p["hash"]))
+        ways = [F.filter(F.transform(_hashes(F.col("toks"), n, named), lambda h, i: F.struct(h.alias("hash"), i.alias("i"))), lambda p: hit(p["hash"])) for named in (True, False)]
+        places = F.array_union(*ways)
         one = base.select("doc_id", F.transform(places, lambda p: F.struct(p["hash"].alias("hash"), F.slice(F.col("toks"), p["i"] + 1, n).alias("doc_tokens"), F.lit(n).alias("size"))).alias("ps"))
         found = one if found is None else found.unionByName(one)
     found = found.select("doc_id", F.inline_outer("ps")).where("hash is not null")
