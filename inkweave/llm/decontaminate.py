@@ -8,7 +8,8 @@ all such words as names and with all as literals, and join by either. Windows of
 item: all of it) are joined with the benchmark's by hash and compared token by token. The values in the placeholders of a window must map
 one to one between document and item, so that a re-parameterised question matches and a chance frame doesn't; at
 least half of a window's tokens must be literal, unless every value is the item's own. A document leaks an item if
-windows that start at a quarter or more of the item's window places match.
+windows that start at a quarter or more of the item's window places match, or if matching windows follow one another in
+both without a gap over `run` tokens or more, however long the item is.
 
 Before windows leave their row they pass a bitmap of 2**22 bits of the benchmark's window hashes (a fixed size: with
 a large benchmark it lets more through, and the join decides). The benchmark's windows are broadcast only if counted
@@ -21,12 +22,12 @@ benchmark gives rows without leaks; extra columns are ignored by the query and k
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise, workspace
 
-WINDOW, COVER, BROADCAST_ROWS, LOG_BITS = 8, 0.25, 200_000, 22
+WINDOW, COVER, RUN, BROADCAST_ROWS, LOG_BITS = 8, 0.25, 13, 200_000, 22
 NUMBER, NAME, UNIT, FIRST = "\u0002", "\u0003", "\u0004", "\u0005"
 #: Units of measure that may follow a number: fixed values.
 UNITS = ("mm", "cm", "m", "km", "g", "kg", "mg", "l", "ml", "s", "ms", "min", "h", "hour", "hours", "minutes", "seconds", "days", "weeks", "years", "inch", "inches", "feet", "ft", "miles", "mph", "lb", "lbs", "oz", "percent", "dollars", "euros", "usd", "eur", "w", "kw", "v", "hz", "khz", "mhz", "ghz", "kb", "mb", "gb", "tb")
@@ -94,8 +95,8 @@ def _value(w: Column) -> Column:
     return F.when(w.startswith(FIRST), F.concat(F.lit(NAME), F.substring(w, 2, 1 << 20))).otherwise(w)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, folder: str | None = None) -> DataFrame:
-    """doc_id, item_id, n_places, coverage: the pairs where coverage reaches `cover`."""
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, folder: str | None = None, run: int = RUN) -> DataFrame:
+    """doc_id, item_id, n_places, coverage: the pairs where coverage reaches `cover` or windows in a row span `run` tokens."""
     spark, folder = docs.sparkSession, folder or workspace(docs.sparkSession)
     items = materialise(item_windows(benchmark, window), folder, "items")
     number = items.count()
@@ -107,18 +108,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: fl
     have = {r["w"]: r["v"] for r in set_bits.collect()}  # at most 2**16 words
     bitmap = F.split(F.lit(",".join(str(have.get(i, 0)) for i in range(words))), ",").cast("array<bigint>")
     hit = lambda h: F.getbit(F.get(bitmap, F.floor(F.pmod(h, F.lit(1 << LOG_BITS)) / 64).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text").cast("string")).alias("toks"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("row"), tokens(F.col("text").cast("string")).alias("toks"))
     found = None
     for n in sizes:
         ways = [F.filter(F.transform(_hashes(F.col("toks"), n, named), lambda h, i: F.struct(h.alias("hash"), i.alias("i"))), lambda p: hit(p["hash"])) for named in (True, False)]
         places = F.array_union(*ways)
-        one = base.select("doc_id", F.transform(places, lambda p: F.struct(p["hash"].alias("hash"), F.slice(F.col("toks"), p["i"] + 1, n).alias("doc_tokens"), F.lit(n).alias("size"))).alias("ps"))
+        one = base.select("doc_id", "row", F.transform(places, lambda p: F.struct(p["hash"].alias("hash"), p["i"].alias("i"), F.slice(F.col("toks"), p["i"] + 1, n).alias("doc_tokens"), F.lit(n).alias("size"))).alias("ps"))
         found = one if found is None else found.unionByName(one)
-    found = found.select("doc_id", F.inline_outer("ps")).where("hash is not null")
+    found = found.select("doc_id", "row", F.inline_outer("ps")).where("hash is not null")
     small = F.broadcast(items) if number <= BROADCAST_ROWS else items
     joined = found.join(small, ["hash", "size"]).where(consistent(F.col("doc_tokens"), F.col("item_tokens")))
-    per = joined.groupBy("doc_id", "item_id", "at").agg(F.first("places").alias("places")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_places"), (F.count("*") / F.first("places")).alias("coverage"))
-    return per.where(F.col("coverage") >= cover)
+    # runs: windows of one row of docs whose places in document and item are the same distance apart follow one another
+    windows = joined.groupBy("doc_id", "item_id", "at", "row", (F.col("i") - F.col("at")).alias("shift")).agg(F.first("places").alias("places"), F.first("size").alias("size"))
+    line = Window.partitionBy("doc_id", "item_id", "row", "shift").orderBy("at")
+    runs = windows.withColumn("start", F.col("at") - F.row_number().over(line)).groupBy("doc_id", "item_id", "row", "shift", "start")
+    runs = runs.agg((F.count("*") + F.first("size") - 1).alias("long"), F.collect_list("at").alias("ats"), F.first("places").alias("places"))
+    per = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_places"), F.first("places").alias("places"), F.max("long").alias("long"))
+    per = per.withColumn("coverage", F.col("n_places") / F.col("places"))
+    return per.where((F.col("coverage") >= cover) | (F.col("long") >= run)).select("doc_id", "item_id", "n_places", "coverage")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

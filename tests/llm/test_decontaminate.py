@@ -1,4 +1,4 @@
-"""Operator 5: names that open sentences."""
+"""Operator 5: names that open sentences, partial passages."""
 
 from inkweave.llm import decontaminate as dc
 
@@ -28,3 +28,24 @@ def test_words_that_open_sentences_stay_literals(spark):
     item = "The red box holds coins. Every coin weighs as much as two beans. Then nobody counts them"
     got = judged(spark, [item, item.lower(), item.replace(". ", ", ").replace("Every", "every").replace("Then", "then")], [item])
     assert all(v == (1, 1.0) for v in got.values())
+
+
+def test_partial_passages_of_the_longest_items(spark):
+    items = sorted((r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()), key=lambda t: -len(t.split()))[:2]
+    items.append(" ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)))
+    plain = [w.split() for w in items]
+    assert len(plain[0]) > 50
+    own = plain[2]
+    docs = ["before it " + " ".join(own[20:33]) + " after it", " ".join(own[20:32]), " ".join(own[:19]), "x y " + " ".join(own[46:])]
+    docs += [" ".join(own[:12] + ["gap"] + own[12:20])]  # windows in two runs, each too short
+    docs += [" ".join(plain[0][10:30]), " ".join(plain[1][-20:])]
+    got = judged(spark, docs, items)
+    assert {i: v[0] for i, v in got.items()} == {0: 1, 1: 0, 2: 1, 3: 1, 4: 0, 5: 1, 6: 1}
+    assert got[0][1] < dc.COVER
+
+
+def test_runs_do_not_go_over_rows(spark):
+    own = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    rows = [(1, " ".join(own[:11])), (1, " ".join(["x"] * 4 + own[4:15]))]  # the second goes on at the same places
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, " ".join(own))], "item_id long, text string")
+    assert dc.decontaminate(d, b).where("contaminated = 1").count() == 0
