@@ -3,7 +3,9 @@
 Every five-word shingle of a document is a Poisson process with the shingle's weight, 1 + ln(count), as rate; each
 arrival goes to a random one of m components, which keeps its earliest. Arrivals later than the latest component stop
 a process early, so a document costs about m ln m arrivals beside one per shingle. The chance that two documents
-agree in a component is the probability Jaccard similarity of their weighted shingles.
+agree in a component is the probability Jaccard similarity of their weighted shingles. That may be far below the plain
+Jaccard similarity where shingles repeat, so a document with repeated shingles is banded a second time with unit weights:
+with these the chance is the plain Jaccard similarity. A document without has both signatures alike and is banded once.
 
 Documents with equal shingle sets are one representative. Representatives that agree in a band of components are
 candidates: in each bucket all are compared with its leader, the document that shares most buckets (in a group of
@@ -73,6 +75,15 @@ def signatures(h: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, m: in
     return who.reshape(n, m)
 
 
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """n x bands: a hash of each band of the signatures."""
+    sig = sig.reshape(len(sig), bands, rows)
+    out = np.zeros((len(sig), bands), _U) + np.arange(bands, dtype=_U) * _U(0xD1342543DE82EF95)
+    for j in range(rows):
+        out = bk.mix(out ^ sig[:, :, j]) + _U(j)
+    return out
+
+
 def _sketch(bands: int, rows: int):
     m = bands * rows
 
@@ -84,12 +95,16 @@ def _sketch(bands: int, rows: int):
             at = np.append(0, np.cumsum(size))
             prefix = bk._prefix(h, 0), bk._prefix(bk.mix(h), 1)
             keys = [bk.spans_hash(p, at[:-1], at[1:], i).view(np.int64) for i, p in enumerate(prefix)]
-            sig = signatures(h, doc, 1.0 + np.log(count), t.n, m).reshape(t.n, bands, rows)
-            out = np.zeros((t.n, bands), _U) + np.arange(bands, dtype=_U) * _U(0xD1342543DE82EF95)
-            for j in range(rows):
-                out = bk.mix(out ^ sig[:, :, j]) + _U(j)
-            flat = pa.array(out.reshape(-1).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (t.n + 1) * bands, bands, dtype=np.int32)), flat)
+            out = band_keys(signatures(h, doc, 1.0 + np.log(count), t.n, m), bands, rows)
+            twice = np.zeros(t.n, bool)
+            twice[doc[count > 1]] = True
+            keep = twice[doc]
+            plain = band_keys(signatures(h[keep], (np.cumsum(twice) - 1)[doc[keep]], np.ones(keep.sum()), int(twice.sum()), m), bands, rows)
+            at = np.append(0, np.cumsum(np.where(twice, 2 * bands, bands)))
+            flat = np.empty(at[-1], _U)
+            flat[at[:-1, None] + np.arange(bands)] = out
+            flat[at[:-1][twice][:, None] + np.arange(bands, 2 * bands)] = plain
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[0]), pa.array(keys[1]), pa.array(size), lists], ["doc_id", "k1", "k2", "n", "bands"])
 
     return run
@@ -125,7 +140,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     one = sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("set_id"))
     members = materialise(sketch.select("doc_id", "k1", "k2").join(one, ["k1", "k2"]).select("doc_id", "set_id"), folder, "members")
     firsts = sketch.where("n > 0").join(one.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("bands").alias("bands"))
-    buckets = materialise(firsts.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), folder, "bands")
+    buckets = materialise(firsts.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct("bands")).alias("band")), folder, "bands")
     shared = materialise(buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), folder, "shared")
     filled = buckets.join(shared, "band")
     fame = filled.groupBy("id").agg(F.sum("c").alias("fame"))
