@@ -177,3 +177,11 @@ def hybrid_retrieval(spark, sf):
     probe = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("x"))
     near = e.join(probe, "label").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.round(_l2(F.col("x"), F.col("embedding")), 4), "vec_id"))).where("rank <= 3")
     return asked.join(near, "label").select("conv_id", "turn", "vec_id", "rank")
+
+
+@query("e12_hybrid_retrieval_all")
+def hybrid_retrieval_all(spark, sf):
+    """e12 of every question: those without vectors have one graph-only row; held against brute force."""
+    found = hybrid_retrieval(spark, sf)
+    out = _ask(spark, sf).select("conv_id", "turn").join(found, ["conv_id", "turn"], "left")
+    return out.select("conv_id", "turn", "vec_id", "rank", F.when(F.col("vec_id").isNull(), "graph_only").otherwise("hybrid").alias("mode"))

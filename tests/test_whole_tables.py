@@ -32,3 +32,11 @@ def test_tolerance_at_the_boundary(spark):
         want[e["event_id"]] = abs(a - b) <= max(0.01 * max(abs(a), abs(b)), 1e-9)
     assert any(i % 40 == 10 for i in want)
     assert {r["event_id"]: r["close"] for r in plans.QUERIES["h15_tolerance_all"](spark, SF).collect()} == want
+
+
+def test_every_question_is_retrieved_for(spark):
+    asked = {(r["conv_id"], r["turn"]) for r in spark.read.parquet(f"{SF}/conversations.parquet").where("role = 'user'").collect()}
+    some = {(r["conv_id"], r["turn"], r["vec_id"], r["rank"], "hybrid") for r in plans.QUERIES["e12_hybrid_retrieval"](spark, SF).collect()}
+    without = {(*k, None, None, "graph_only") for k in asked - {r[:2] for r in some}}
+    got = [tuple(r) for r in plans.QUERIES["e12_hybrid_retrieval_all"](spark, SF).collect()]
+    assert without and len(got) == len(set(got)) and set(got) == some | without
