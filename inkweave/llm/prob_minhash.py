@@ -12,6 +12,7 @@ candidates: in each bucket all are compared with its leader, the document that s
 edited copies that is the one nearest to all). What doesn't reach the leader's class is compared with members of other
 classes, but for pairs that the distances to the leader rule out (Jaccard distance is a metric, so these can't be
 similar), or whose shingles that no other candidate has are too many. A link is an exact Jaccard similarity of the shingle sets of `threshold` or more.
+n_verified_links counts those that were compared: other members of a class may be similar, too.
 
 Cases: a null text is the empty text; documents without words are one class; a text of one to four words is one
 shingle; rows with equal doc_id count once in links and each get a row; a null doc_id is a class of its own, with
@@ -132,7 +133,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, folder: str | None = None) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), set_id (smallest doc_id of equal shingle sets), n_links of set_id."""
+    """doc_id, class_id (smallest doc_id of the class), set_id (smallest doc_id of equal shingle sets), n_verified_links of set_id."""
     spark, folder = docs.sparkSession, folder or workspace(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
@@ -178,10 +179,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     if not extra.isEmpty():
         links = links.unionByName(extra)
         classes = components(links, folder, "classes-2")
-    count = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_links"))
+    count = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_verified_links"))
     by_set = classes.select(F.col("id").alias("set_id"), F.col("root").alias("class_id")).join(count, "set_id", "left")
-    out = members.join(by_set, "set_id", "left").select("doc_id", F.coalesce("class_id", "set_id").alias("class_id"), "set_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    lost = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("set_id"), F.lit(0).cast("long").alias("n_links"))
+    out = members.join(by_set, "set_id", "left").select("doc_id", F.coalesce("class_id", "set_id").alias("class_id"), "set_id", F.coalesce("n_verified_links", F.lit(0)).cast("long").alias("n_verified_links"))
+    lost = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("set_id"), F.lit(0).cast("long").alias("n_verified_links"))
     return out.unionByName(lost)
 
 

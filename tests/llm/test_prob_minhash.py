@@ -25,3 +25,8 @@ def test_unit_bands_only_where_shingles_repeat():
     h = pm.counted(*pm.shingles(pm.bk.Texts(b.column(1).slice(1, 1))))[0]
     plain = pm.band_keys(pm.signatures(h, np.zeros(len(h), int), np.ones(len(h)), 1, 130), 26, 5)
     assert bands[1][26:] == plain[0].view(np.int64).tolist()
+
+
+def test_links_are_named_for_what_they_count(spark):
+    out = pm.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (None, "x")], "doc_id long, text string"))
+    assert out.columns == ["doc_id", "class_id", "set_id", "n_verified_links"] and out.count() == 2
