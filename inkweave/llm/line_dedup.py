@@ -1,135 +1,205 @@
 """Operator 3, line dedup (native): exact set-similarity join of lines.
 
 A line is a set of words. Words are ordered by rarity (counts of all words of the corpus in 262,144 hash bins, a bound
-that doesn't grow; ties by hash), and lines that reach the similarity share a word among their rarest ones: of n words
-the first n - ceil(t n) + 1. Lines meet on these words; pairs that the sizes or the word's positions rule out are
-dropped, the others verified by exact Jaccard similarity of their word sets. A line goes if an earlier one (smaller
-doc_id, or the same and a smaller line number) is similar, whether that one stays or goes.
+that doesn't grow, in steps of half a power of two; ties by hash), and lines that reach the similarity share a word
+among their rarest ones: of n words the first n - ceil(t n) + 1. Lines meet on these words; pairs that sizes, the
+word's positions or a parity sketch of 64 bits rule out are dropped, the others verified by the exact Jaccard
+similarity of their words. A line goes if an earlier one (smaller doc_id, or the same and a smaller line number) is
+similar, whether that one stays or goes.
 
-Lines of one word set are one candidate, so copies of a line never meet in pairs. Of the lines that share a rare word
-all are compared with the earliest; only those that this one doesn't remove are compared with the others before them.
-Pairs also pass 128 marker bits per line, which bound from below how many words one line has and the other not.
+Lines of one word set are one candidate, so copies of a line never meet in pairs. Words that more than HOT lines have
+among their rarest are hot: there all lines are compared with the earliest first, and only those that stay are compared
+with the others, behind a sketch of 512 bits and once a pair. Joins on words are sort-merge joins on shuffles that Spark
+may split where they are skewed. The text of the lines to verify is fetched once.
 
 Cases: null text has no lines and stays null; lines without words are never removed; of a line's repeats in one
-document the first stays; equal rows (doc_id and text) count as one document, other rows with one doc_id are ordered
-by line number; rows with null doc_id keep all lines; an empty table gives an empty result; extra columns are kept by
-cut_lines() and ignored by the query.
+document the first stays; equal rows (doc_id and text) count as one document, other rows with one doc_id follow one
+another in the order of their texts' hashes; rows with null doc_id keep all lines; in lines of 65,535 different words or
+more sizes and positions rule nothing out; an empty table gives an empty result; extra columns are kept by cut_lines()
+and ignored by the query.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import GAP, discard, documents, materialise, release, workspace
 
-THRESHOLD, BINS = 0.8, 1 << 18
+THRESHOLD, BINS, HOT = 0.8, 1 << 18, 512
+MOST = 65_535
 
 
 def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _bin(h: Column, bins: int) -> Column:
-    return F.pmod(h, F.lit(bins)).cast("int")
+def _shifted(bit: Column) -> Column:
+    """1 << (bit mod 64)."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def rarity(docs: DataFrame, bins: int = BINS) -> Column:
-    """Constant array: how many words of the corpus fall in each bin, at most 2**18 - 1 steps (a word's rank is only an order)."""
-    counts = docs.select(F.explode_outer(F.split(F.coalesce("text", F.lit("")), GAP)).alias("w")).groupBy(_bin(F.xxhash64("w"), bins).alias("bin")).agg(F.count("*").alias("c"))
-    have = {r["bin"]: r["c"] for r in counts.collect()}  # at most `bins` rows
-    rank = {c: i for i, c in enumerate(sorted(set(have.values())))}
-    text = ",".join(str(min(rank[have[i]], (1 << 18) - 1)) if i in have else "0" for i in range(bins))
-    return F.split(F.lit(text), ",").cast("array<bigint>")
+    """Constant array: for each bin twice the logarithm (base 2) of the number of the corpus's words in it."""
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), GAP)).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(bins - 1)).alias("bin")).agg(F.floor(F.log2(F.count("*")) * 2).alias("level"))
+    parts = counts.groupBy(F.expr("bin div 64").cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("bin") % 64).cast("int"), "level"))).alias("have"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("have", i), F.lit(0)).cast("string")), ",")
+    rows = {r["part"]: r["text"] for r in parts.select("part", text.alias("text")).collect()}  # at most bins / 64 rows
+    none = ",".join(["0"] * 64)
+    return F.split(F.lit(",".join(rows.get(i, none) for i in range(bins // 64))), ",").cast("array<bigint>")
+
+
+def word_set(line: Column) -> Column:
+    """The different words of a line."""
+    return F.array_distinct(F.filter(F.split(line, GAP), lambda w: w != ""))
 
 
 def word_keys(line: Column, ranks: Column, bins: int = BINS) -> Column:
-    """Sorted distinct keys of a line's words, the rarest first: 18 bits of rank, 45 of the word's hash."""
-    ws = F.filter(F.split(line, GAP), lambda w: w != "")
-    key = lambda w: _once(F.xxhash64(w), lambda h: F.shiftleft(F.get(ranks, _bin(h, bins)), 45).bitwiseOR(h.bitwiseAND(F.lit((1 << 45) - 1))))
-    return F.sort_array(F.array_distinct(F.transform(ws, key)))
-
-
-def _bits(s: Column, word: int) -> Column:
-    """64 of a line's 128 marker bits: each key sets one."""
-    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(s, F.lit(0).cast("long"), lambda acc, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * word, acc.bitwiseOR(one(k))).otherwise(acc))
-
-
-def _sims(pairs: DataFrame, base: DataFrame, ranks: Column) -> DataFrame:
-    """pairs (xd, xl, yd, yl) with sim, from the lines' texts."""
-    ids = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("d"), F.col("xl").alias("l")), F.struct(F.col("yd").alias("d"), F.col("yl").alias("l")))).alias("i")).select("i.d", "i.l").distinct()
-    picked = base.join(ids.groupBy("d").agg(F.collect_set("l").alias("wanted")), "d").select("d", "wanted", F.posexplode_outer(F.split("text", "\n")).alias("l", "line")).where(F.array_contains("wanted", F.col("l")))
-    sets = picked.dropDuplicates(["d", "l"]).select("d", "l", word_keys(F.col("line"), ranks).alias("s"))
-    both = pairs.join(sets.select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("s").alias("xs")), ["xd", "xl"]).join(sets.select(F.col("d").alias("yd"), F.col("l").alias("yl"), F.col("s").alias("ys")), ["yd", "yl"])
-    common = F.size(F.array_intersect("xs", "ys"))
-    return both.withColumn("sim", common / (F.size("xs") + F.size("ys") - common)).select("xd", "xl", "yd", "yl", "sim")
-
-
-def similar_lines(docs: DataFrame, folder: str, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, lines: sorted numbers (from 0) of the lines that have a similar earlier one."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("d"), "text")
-    ranks = rarity(base)
-    lines = base.select("d", F.posexplode_outer(F.split("text", "\n")).alias("l", "line")).withColumn("s", word_keys(F.col("line"), ranks)).withColumn("n", F.size("s")).where("n > 0")
+    """Sorted keys of a line's different words, the rarest first: 7 bits of rank, 56 of the word's hash."""
+    hashes = F.array_except(F.transform(F.split(line, GAP), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(bins - 1)).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+
+
+def _parity(keys: Column) -> Column:
+    """64 bits, each the parity of the number of keys that fall on it: two sets differ in as many words as bits at least."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(_shifted(k)))
+
+
+def _wide(words: Column) -> Column:
+    """512 such bits, as 8 numbers."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    one = lambda i: F.aggregate(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(7)) == i), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(_shifted(h)))
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), one)
+
+
+def numbered(docs: DataFrame, folder: str) -> tuple[DataFrame, bool]:
+    """docs with __row: doc_id, or where doc_ids repeat (then True) a number in the order of doc_id and the text's hash; null if doc_id is."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
+    twice = ids.where("d is not null").groupBy("d").agg(F.count("*").alias("c")).where("c > 1")
+    if twice.isEmpty():
+        return docs.withColumn("__row", F.col("doc_id").cast("long")), False
+    order = ids.where("d is not null").select(F.col("d").alias("__d"), F.xxhash64("text").alias("__h")).distinct().orderBy("__d", "__h")
+    order = materialise(order.withColumn("__row", F.monotonically_increasing_id()), folder, "rows")
+    return docs.join(order, (F.col("doc_id").cast("long") == F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__h")), "left").drop("__d", "__h"), True
+
+
+def _before(y: str, x: str) -> Column:
+    return (F.col(f"{y}.d") < F.col(f"{x}.d")) | ((F.col(f"{y}.d") == F.col(f"{x}.d")) & (_line(F.col(f"{y}.q")) < _line(F.col(f"{x}.q"))))
+
+
+def _line(q: Column) -> Column:
+    return F.shiftrightunsigned(q, 32)
+
+
+def _may(x: str, y: str, threshold: float) -> Column:
+    """What sizes, positions and the sketch leave of pairs of postings."""
+    size = lambda t: F.shiftrightunsigned(F.col(f"{t}.q"), 16).bitwiseAND(F.lit(MOST))
+    left = lambda t: size(t) - F.col(f"{t}.q").bitwiseAND(F.lit(MOST))
+    both = size(x) + size(y)
+    need = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
+    fits = (F.least(size(x), size(y)) >= F.greatest(size(x), size(y)) * threshold - 1e-9) & (F.least(left(x), left(y)) >= need)
+    fits = fits & (F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) <= both - 2 * need)
+    return fits | (F.greatest(size(x), size(y)) >= MOST)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    """(xd, xl, yd, yl) of joined postings x and y."""
+    return joined.select(F.col("x.d").alias("xd"), _line(F.col("x.q")).cast("int").alias("xl"), F.col("y.d").alias("yd"), _line(F.col("y.q")).cast("int").alias("yl")).distinct()
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """d, l of the first of each pair whose lines (texts: d, l, line) reach the similarity."""
+    side = lambda t: texts.select(F.col("d").alias(f"{t}d"), F.col("l").alias(f"{t}l"), F.col("line").alias(f"{t}line")).hint("merge")
+    both = pairs.join(side("x"), ["xd", "xl"]).join(side("y"), ["yd", "yl"])
+    sim = _once(F.struct(word_set(F.col("xline")).alias("x"), word_set(F.col("yline")).alias("y")), lambda p: _jaccard(p["x"], p["y"]))
+    return both.where(sim >= threshold - 1e-12).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    return _once(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
+
+
+def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """d, l, line of the lines in ids (d, l)."""
+    wanted = ids.distinct().groupBy("d").agg(F.collect_list("l").alias("ls"))
+    lines = _once(F.split("text", "\n"), lambda parts: F.transform("ls", lambda i: F.struct(i.alias("l"), F.get(parts, i).alias("line"))))
+    return base.join(wanted.hint("merge"), "d").select("d", F.inline(lines))
+
+
+def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+    """base: __row (unique, in the order of documents), text. Returns __row, lines: sorted numbers (from 0) of the lines that have a similar earlier one."""
+    base = base.where("__row is not null and text is not null").select(F.col("__row").alias("d"), "text")
+    least = F.lit(int(threshold / (1 - threshold) - 1e-9) + 1)  # smaller sets are similar to equal ones only
+    made = base.select("d", F.posexplode(F.split("text", "\n")).alias("l", "line")).withColumn("s", word_keys(F.col("line"), rarity(base))).withColumn("n", F.size("s")).where("n > 0")
     width = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    lines = materialise(lines.select("d", "l", "n", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(7)).alias("k2"), _bits(F.col("s"), 0).alias("b0"), _bits(F.col("s"), 1).alias("b1"), F.slice("s", F.lit(1), width).alias("rare")), folder, "lines")
+    rare = F.transform(F.slice("s", F.lit(1), width), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
+    made = made.select("d", "l", "n", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(7)).alias("k2"), _parity(F.col("s")).alias("s"), F.when(F.col("n") >= least, rare).alias("rare"))
+    lines = materialise(made, folder, "lines")
     # the first line of each word set that more than one line has
-    keys = lines.select("k1", "k2", "d", "l")
-    low = keys.groupBy("k1", "k2").agg(F.min("d").alias("first_d"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    many = keys.join(low, ["k1", "k2"]).where("d = first_d").groupBy("k1", "k2", "first_d").agg(F.min("l").alias("first_l"))
-    again = materialise(keys.join(many, ["k1", "k2"]).where("not (d = first_d and l = first_l)").select("d", "l"), folder, "again")
-    del low, many, keys
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("f"), F.count("*").alias("copies")).where("copies > 1").select("k1", "k2", "f")
+    sets = lines.join(first.hint("merge"), ["k1", "k2"], "left").withColumn("again", F.coalesce((F.col("d") != F.col("f.d")) | (F.col("l") != F.col("f.l")), F.lit(False)))
+    sets = materialise(sets.select("d", "l", "again", F.least("n", F.lit(MOST)).alias("n"), F.when(~F.col("again"), F.col("s")).alias("s"), F.when(~F.col("again"), F.col("rare")).alias("rare")), folder, "sets")
+    del lines, first
+    discard(spark := base.sparkSession, folder, "lines")
+    release(spark)
+    q = lambda pos: F.shiftleft(F.col("l").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 16)).bitwiseOR(F.least(pos, F.lit(MOST)).cast("long"))
+    posts = sets.where("not again and rare is not null").select("d", "l", "n", "s", F.posexplode("rare").alias("pos", "w")).select("w", "d", q(F.col("pos")).alias("q"), "s")
+    many = posts.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
+    cold = posts.join(many.where(F.col("c") <= hot).select("w").hint("shuffle_hash"), "w")
+    meet = cold.alias("x").join(posts.alias("y").hint("merge"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold))
+    none = lambda *kinds: [F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in kinds]
+    cold_pairs = _pairs(meet).select("xd", "xl", "yd", "yl", *none("w int", "q long", "s long"))
+    crowd = posts.join(many.where(F.col("c") > hot).select("w").hint("shuffle_hash"), "w").select(F.col("d").alias("xd"), *none("xl int", "yd long", "yl int"), "w", "q", "s")
+    met = materialise(cold_pairs.unionByName(crowd), folder, "met")
+    del posts, many, cold, meet, cold_pairs, crowd
     release(spark)
-    need = lambda a, b: F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
-
-    def may(x, y) -> Column:
-        """What sizes, positions and marker bits leave: a bit that only one line has stands for a word that only it has."""
-        both = need(x("n"), y("n"))
-        off = lambda a, b: F.bit_count(a("b0").bitwiseAND(F.bitwise_not(b("b0")))) + F.bit_count(a("b1").bitwiseAND(F.bitwise_not(b("b1"))))
-        sizes = F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * threshold - 1e-9
-        return sizes & (F.least(x("n") - x("pos"), y("n") - y("pos")) >= both) & (off(x, y) <= x("n") - both) & (off(y, x) <= y("n") - both)
-
-    def posts(rows: DataFrame) -> DataFrame:
-        return rows.select("d", "l", "n", "b0", "b1", "flag", F.posexplode("rare").alias("pos", "w")).repartition(parts, "w")
-
-    reps = lines.join(again, ["d", "l"], "left_anti").withColumn("flag", F.lit(False))
-    order = Window.partitionBy("w").orderBy("d", "l")
-    led = posts(reps).withColumn("e", F.first(F.struct("d", "l", "n", "pos", "b0", "b1")).over(order)).where("not (d = e.d and l = e.l)")
-    stars = led.where(may(F.col, lambda c: F.col(f"e.{c}"))).select(F.col("d").alias("xd"), F.col("l").alias("xl"), F.col("e.d").alias("yd"), F.col("e.l").alias("yl")).distinct()
-    stars = materialise(stars, folder, "star-pairs")
-    del led
+    pairs, crowd = met.where("w is null").select("xd", "xl", "yd", "yl"), met.where("w is not null").select("w", F.col("xd").alias("d"), "q", "s")
+    lead = crowd.groupBy("w").agg(F.min(F.struct("d", "q", "s")).alias("m")).select("w", "m.*")
+    star = _pairs(crowd.alias("x").join(lead.alias("y"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold)))
+    pairs = materialise(pairs.unionByName(star).distinct(), folder, "pairs")
     release(spark)
-    sims = materialise(_sims(stars, base, ranks), folder, "sims")
+    ids = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("d"), F.col("xl").alias("l")), F.struct(F.col("yd").alias("d"), F.col("yl").alias("l")))).alias("i")).select("i.*")
+    texts = materialise(_texts(base, ids.unionByName(crowd.select("d", _line(F.col("q")).cast("int").alias("l")))), folder, "texts")
     release(spark)
-    gone = sims.where(F.col("sim") >= threshold - 1e-12).select("xd", "xl").distinct()
-    # what the earliest lines leave: compared with the other earlier lines of the same word
-    flagged = reps.drop("flag").join(gone.select(F.col("xd").alias("d"), F.col("xl").alias("l"), F.lit(True).alias("flag")), ["d", "l"], "left")
-    every = posts(flagged)
-    x, y = every.where("flag is null").alias("x"), every.alias("y")
-    before = (F.col("y.d") < F.col("x.d")) | ((F.col("y.d") == F.col("x.d")) & (F.col("y.l") < F.col("x.l")))
-    more = x.join(y, (F.col("x.w") == F.col("y.w")) & before & may(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")))
-    more = more.select(F.col("x.d").alias("xd"), F.col("x.l").alias("xl"), F.col("y.d").alias("yd"), F.col("y.l").alias("yl")).distinct().join(stars, ["xd", "xl", "yd", "yl"], "left_anti")
-    more = materialise(more, folder, "more-pairs")
-    discard(spark, folder, "lines")
-    del reps, flagged, every, x, y
+    gone = materialise(_alike(pairs, texts, threshold), folder, "gone")
     release(spark)
-    late = _sims(more, base, ranks).where(F.col("sim") >= threshold - 1e-12).select("xd", "xl")
-    found = again.unionByName(gone.unionByName(late).select(F.col("xd").alias("d"), F.col("xl").alias("l")))
-    out = materialise(found.groupBy("d").agg(F.sort_array(F.collect_set("l")).alias("lines")).withColumnRenamed("d", "doc_id"), folder, "removed")
+    found = sets.where("again").select("d", "l").unionByName(gone)
+    if not crowd.isEmpty():
+        # what the earliest lines leave: compared with the other earlier lines of the same hot word
+        place = crowd.select("d", _line(F.col("q")).cast("int").alias("l"), F.struct(F.col("q").bitwiseAND(F.lit(MOST)).alias("pos"), "w").alias("p"))
+        about = place.groupBy("d", "l").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["w"]).alias("ws"))
+        about = materialise(about.join(texts.hint("merge"), ["d", "l"]).select("d", "l", "ws", _wide(word_set(F.col("line"))).alias("b")), folder, "wide")
+        full = crowd.withColumn("l", _line(F.col("q")).cast("int")).join(about.hint("merge"), ["d", "l"])
+        left = full.join(gone.hint("merge"), ["d", "l"], "left_anti")
+        differ = F.aggregate(F.arrays_zip(F.col("x.b").alias("x"), F.col("y.b").alias("y")), F.lit(0), lambda acc, p: acc + F.bit_count(p["x"].bitwiseXOR(p["y"])))
+        size = lambda t: F.shiftrightunsigned(F.col(f"{t}.q"), 16).bitwiseAND(F.lit(MOST))
+        both = size("x") + size("y")
+        close = (differ <= both - 2 * F.ceil(both * (threshold / (1 + threshold)) - 1e-9)) | (F.greatest(size("x"), size("y")) >= MOST)
+        once = F.get(F.array_intersect("x.ws", "y.ws"), F.lit(0)) == F.col("x.w")
+        rest = left.alias("x").join(full.alias("y").hint("merge"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold) & close & once)
+        rest = materialise(_pairs(rest).join(pairs.hint("merge"), ["xd", "xl", "yd", "yl"], "left_anti"), folder, "rest")
+        release(spark)
+        found = found.unionByName(_alike(rest, texts, threshold))
+    out = materialise(found.groupBy("d").agg(F.sort_array(F.collect_set("l")).alias("lines")).withColumnRenamed("d", "__row"), folder, "removed")
+    discard(spark, folder, "sets", "met", "pairs", "texts", "wide", "rest")
     release(spark)
     return out
 
 
 def _with_gone(docs: DataFrame, threshold: float, folder: str | None) -> DataFrame:
-    gone = similar_lines(docs, folder or workspace(docs.sparkSession), threshold)
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone_id").withColumnRenamed("lines", "_gone"), F.col("doc_id").cast("long") == F.col("_gone_id"), "left")
+    folder = folder or workspace(docs.sparkSession)
+    rows, repeats = numbered(docs, folder)
+    base = rows.select("__row", F.col("text").cast("string").alias("text"))
+    base = base.distinct() if repeats else base
+    gone = similar_lines(base, folder, threshold).select(F.col("__row").alias("__gone_row"), F.col("lines").alias("__gone"))
+    return rows.join(gone.hint("merge"), F.col("__row") == F.col("__gone_row"), "left").drop("__row", "__gone_row")
 
 
 def _kept_text() -> Column:
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    return F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
 
 
 def cut_lines(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
@@ -141,7 +211,7 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None
     """doc_id, text (without removed lines), n_lines and n_removed of every document."""
     joined = _with_gone(docs.select("doc_id", "text"), threshold, folder)
     count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
-    return joined.select("doc_id", _kept_text().alias("text"), count.cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long").alias("n_removed"))
+    return joined.select("doc_id", _kept_text().alias("text"), count.cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_removed"))
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

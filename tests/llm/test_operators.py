@@ -118,7 +118,8 @@ def test_lines(spark, none):
     assert ld.cut_lines(none).columns == none.columns and ld.cut_lines(none).count() == 0
 
 
-def test_lines_of_edited_copies(spark):
+@pytest.mark.parametrize("hot", [2, 512])
+def test_lines_of_edited_copies(spark, hot):
     r = random.Random(5)
     base = [f"w{i}" for i in range(40)]
     docs = []
@@ -130,10 +131,46 @@ def test_lines_of_edited_copies(spark):
     jac = lambda a, b: len(a & b) / len(a | b)
     sets = [set(t.split()) for _, t in docs]
     want = {i for i in range(120) if any(jac(sets[i], sets[j]) >= 0.8 for j in range(i))}
-    got = {r["doc_id"] for r in ld.similar_lines(spark.createDataFrame(docs, "doc_id long, text string"), workspace(spark)).collect()}
+    got = {r["__row"] for r in ld.similar_lines(spark.createDataFrame(docs, "__row long, text string"), workspace(spark), hot=hot).collect()}
+    assert got == want and len(want) < 120
+
+
+@pytest.mark.parametrize("hot", [1, 3, 512])
+def test_lines_of_all_sizes(spark, hot):
+    r = random.Random(11)
+    docs, lines = [], []
+    for i in range(60):
+        text = []
+        for _ in range(r.randrange(0, 7)):
+            w = r.choice(lines).split() if lines and r.random() < 0.6 else [f"v{int(r.paretovariate(0.4)) % 400}" for _ in range(r.choice((1, 2, 4, 5, 9, 30, 90)))]
+            for _ in range(r.choice((0, 0, 1, 2, len(w) // 8))):
+                w[r.randrange(len(w))] = f"e{r.randrange(3000)}"
+            lines.append(" ".join(w))
+            text.append(lines[-1])
+        docs.append((i, "\n".join(text)))
+    seen, want = [], {}
+    for i, text in docs:
+        gone = []
+        for n, line in enumerate(text.split("\n")):
+            s = set(line.split())
+            if s and any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in seen):
+                gone.append(n)
+            seen.append(s)
+        if gone:
+            want[i] = gone
+    got = {r["__row"]: r["lines"] for r in ld.similar_lines(spark.createDataFrame(docs, "__row long, text string"), workspace(spark), hot=hot).collect()}
     assert got == want
 
 
+def test_lines_of_repeated_doc_ids(spark):
+    long = " ".join(f"x{i}" for i in range(70_000))
+    rows = [(1, "a b c d e\nz"), (1, "a b c d e\nz"), (1, "other one\na b c d e f"), (2, "a b c d e"), (2, None), (3, long), (4, long + " y"), (None, "a b c d e")]
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["n_removed"]) for r in ld.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    one = [(1, 2, 0), (1, 2, 0), (1, 2, 1)], [(1, 2, 0), (1, 2, 1), (1, 2, 1)]  # whichever text comes first by its hash
+    assert [x for x in got if x[0] == 1] in one
+    assert [x for x in got if x[0] != 1] == [(0, 1, 0), (2, 0, 0), (2, 1, 1), (3, 1, 0), (4, 1, 1)]
+
+
 def test_near_duplicates(spark, none):
     r = random.Random(9)
     rows = []
