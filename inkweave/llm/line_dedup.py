@@ -24,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, discard, documents, materialise, release, workspace
+from .common import GAP, WORD, discard, documents, materialise, release, workspace
 
 THRESHOLD, BINS, HOT = 0.8, 1 << 18, 512
-MOST = 65_535
+MOST, LONG = 65_535, 120
 
 
 def _once(value: Column, use) -> Column:
@@ -93,20 +93,41 @@ def _line(q: Column) -> Column:
     return F.shiftrightunsigned(q, 32)
 
 
+def _size(t: str) -> Column:
+    return F.shiftrightunsigned(F.col(f"{t}.q"), 16).bitwiseAND(F.lit(MOST))
+
+
+def _need(both: Column, threshold: float) -> Column:
+    """Words that similar lines of `both` words together share at least."""
+    return F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
+
+
 def _may(x: str, y: str, threshold: float) -> Column:
     """What sizes, positions and the sketch leave of pairs of postings."""
-    size = lambda t: F.shiftrightunsigned(F.col(f"{t}.q"), 16).bitwiseAND(F.lit(MOST))
-    left = lambda t: size(t) - F.col(f"{t}.q").bitwiseAND(F.lit(MOST))
-    both = size(x) + size(y)
-    need = F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
-    fits = (F.least(size(x), size(y)) >= F.greatest(size(x), size(y)) * threshold - 1e-9) & (F.least(left(x), left(y)) >= need)
+    left = lambda t: _size(t) - F.col(f"{t}.q").bitwiseAND(F.lit(MOST))
+    both = _size(x) + _size(y)
+    need = _need(both, threshold)
+    fits = (F.least(_size(x), _size(y)) >= F.greatest(_size(x), _size(y)) * threshold - 1e-9) & (F.least(left(x), left(y)) >= need)
     fits = fits & (F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) <= both - 2 * need)
-    return fits | (F.greatest(size(x), size(y)) >= MOST)
+    return fits | (F.greatest(_size(x), _size(y)) >= MOST)
+
+
+def _apart(a: Column, b: Column, both: Column, threshold: float) -> Column:
+    """Whether the 512 bits of two lines (null: unknown) rule a pair out."""
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(8)), F.lit(0))
+    return F.coalesce(differ > both - 2 * _need(both, threshold), F.lit(False)) & (both < MOST)
+
+
+def _narrowed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """pairs without those of long lines that 512 bits rule out."""
+    side = lambda t: texts.where("b is not null").select(F.col("d").alias(f"{t}d"), F.col("l").alias(f"{t}l"), F.col("b").alias(f"{t}b")).hint("merge")
+    long = pairs.where(F.col("n") > LONG).join(side("x"), ["xd", "xl"], "left").join(side("y"), ["yd", "yl"], "left")
+    return pairs.where(F.col("n") <= LONG).unionByName(long.where(~_apart(F.col("xb"), F.col("yb"), F.col("n"), threshold)).select(pairs.columns))
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    """(xd, xl, yd, yl) of joined postings x and y."""
-    return joined.select(F.col("x.d").alias("xd"), _line(F.col("x.q")).cast("int").alias("xl"), F.col("y.d").alias("yd"), _line(F.col("y.q")).cast("int").alias("yl")).distinct()
+    """(n, far, xd, xl, yd, yl) of joined postings x and y; n: words of both; far: bits in which the sketches differ."""
+    return joined.select((_size("x") + _size("y")).alias("n"), F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))).alias("far"), F.col("x.d").alias("xd"), _line(F.col("x.q")).cast("int").alias("xl"), F.col("y.d").alias("yd"), _line(F.col("y.q")).cast("int").alias("yl")).distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -117,22 +138,33 @@ def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.where(sim >= threshold - 1e-12).select(F.col("xd").alias("d"), F.col("xl").alias("l")).distinct()
 
 
+def _first_alike(pairs: DataFrame, texts: DataFrame, threshold: float, folder: str, name: str) -> DataFrame:
+    """The same, but each line is compared with the one of the nearest sketch first and with the others only if that one isn't similar."""
+    near = pairs.groupBy("xd", "xl").agg(F.min(F.struct("far", "yd", "yl")).alias("m")).select("xd", "xl", "m.yd", "m.yl")
+    one = materialise(_alike(near, texts, threshold), folder, f"{name}-near")
+    release(pairs.sparkSession)
+    open_ = pairs.join(one.select(F.col("d").alias("xd"), F.col("l").alias("xl")).hint("merge"), ["xd", "xl"], "left_anti")
+    more = open_.join(near.hint("merge"), ["xd", "xl", "yd", "yl"], "left_anti").select("xd", "xl", "yd", "yl")
+    return one.unionByName(_alike(more, texts, threshold))
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     return _once(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
 def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """d, l, line of the lines in ids (d, l)."""
+    """d, l, line and b (512 bits of a long one) of the lines in ids (d, l)."""
     wanted = ids.distinct().groupBy("d").agg(F.collect_list("l").alias("ls"))
     lines = _once(F.split("text", "\n"), lambda parts: F.transform("ls", lambda i: F.struct(i.alias("l"), F.get(parts, i).alias("line"))))
-    return base.join(wanted.hint("merge"), "d").select("d", F.inline(lines))
+    return base.join(wanted.hint("merge"), "d").select("d", F.inline(lines)).select("*", _once(word_set(F.col("line")), lambda ws: F.when(F.size(ws) > LONG // 3, _wide(ws))).alias("b"))
 
 
 def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """base: __row (unique, in the order of documents), text. Returns __row, lines: sorted numbers (from 0) of the lines that have a similar earlier one."""
     base = base.where("__row is not null and text is not null").select(F.col("__row").alias("d"), "text")
     least = F.lit(int(threshold / (1 - threshold) - 1e-9) + 1)  # smaller sets are similar to equal ones only
-    made = base.select("d", F.posexplode(F.split("text", "\n")).alias("l", "line")).withColumn("s", word_keys(F.col("line"), rarity(base))).withColumn("n", F.size("s")).where("n > 0")
+    made = base.select("d", F.posexplode(F.split("text", "\n")).alias("l", "line")).where(F.col("line").rlike(WORD))
+    made = made.withColumn("s", word_keys(F.col("line"), rarity(base))).withColumn("n", F.size("s"))
     width = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     rare = F.transform(F.slice("s", F.lit(1), width), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     made = made.select("d", "l", "n", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(7)).alias("k2"), _parity(F.col("s")).alias("s"), F.when(F.col("n") >= least, rare).alias("rare"))
@@ -148,14 +180,14 @@ def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, ho
     posts = sets.where("not again and rare is not null").select("d", "l", "n", "s", F.posexplode("rare").alias("pos", "w")).select("w", "d", q(F.col("pos")).alias("q"), "s")
     many = posts.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
     cold = posts.join(many.where(F.col("c") <= hot).select("w").hint("shuffle_hash"), "w")
-    meet = cold.alias("x").join(posts.alias("y").hint("merge"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold))
+    meet = cold.alias("x").join(cold.alias("y").hint("merge"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold))
     none = lambda *kinds: [F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in kinds]
-    cold_pairs = _pairs(meet).select("xd", "xl", "yd", "yl", *none("w int", "q long", "s long"))
-    crowd = posts.join(many.where(F.col("c") > hot).select("w").hint("shuffle_hash"), "w").select(F.col("d").alias("xd"), *none("xl int", "yd long", "yl int"), "w", "q", "s")
+    cold_pairs = _pairs(meet).select("n", "far", "xd", "xl", "yd", "yl", *none("w int", "q long", "s long"))
+    crowd = posts.join(many.where(F.col("c") > hot).select("w").hint("shuffle_hash"), "w").select(*none("n long", "far int"), F.col("d").alias("xd"), *none("xl int", "yd long", "yl int"), "w", "q", "s")
     met = materialise(cold_pairs.unionByName(crowd), folder, "met")
     del posts, many, cold, meet, cold_pairs, crowd
     release(spark)
-    pairs, crowd = met.where("w is null").select("xd", "xl", "yd", "yl"), met.where("w is not null").select("w", F.col("xd").alias("d"), "q", "s")
+    pairs, crowd = met.where("w is null").select("n", "far", "xd", "xl", "yd", "yl"), met.where("w is not null").select("w", F.col("xd").alias("d"), "q", "s")
     lead = crowd.groupBy("w").agg(F.min(F.struct("d", "q", "s")).alias("m")).select("w", "m.*")
     star = _pairs(crowd.alias("x").join(lead.alias("y"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold)))
     pairs = materialise(pairs.unionByName(star).distinct(), folder, "pairs")
@@ -163,27 +195,27 @@ def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, ho
     ids = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("d"), F.col("xl").alias("l")), F.struct(F.col("yd").alias("d"), F.col("yl").alias("l")))).alias("i")).select("i.*")
     texts = materialise(_texts(base, ids.unionByName(crowd.select("d", _line(F.col("q")).cast("int").alias("l")))), folder, "texts")
     release(spark)
-    gone = materialise(_alike(pairs, texts, threshold), folder, "gone")
+    pairs = materialise(_narrowed(pairs, texts, threshold), folder, "narrowed")
+    release(spark)
+    gone = materialise(_first_alike(pairs, texts, threshold, folder, "gone"), folder, "gone")
     release(spark)
     found = sets.where("again").select("d", "l").unionByName(gone)
     if not crowd.isEmpty():
         # what the earliest lines leave: compared with the other earlier lines of the same hot word
         place = crowd.select("d", _line(F.col("q")).cast("int").alias("l"), F.struct(F.col("q").bitwiseAND(F.lit(MOST)).alias("pos"), "w").alias("p"))
         about = place.groupBy("d", "l").agg(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["w"]).alias("ws"))
-        about = materialise(about.join(texts.hint("merge"), ["d", "l"]).select("d", "l", "ws", _wide(word_set(F.col("line"))).alias("b")), folder, "wide")
+        wide = F.coalesce("b", _wide(word_set(F.col("line"))))
+        about = materialise(about.join(texts.hint("merge"), ["d", "l"]).select("d", "l", "ws", wide.alias("b")), folder, "wide")
         full = crowd.withColumn("l", _line(F.col("q")).cast("int")).join(about.hint("merge"), ["d", "l"])
         left = full.join(gone.hint("merge"), ["d", "l"], "left_anti")
-        differ = F.aggregate(F.arrays_zip(F.col("x.b").alias("x"), F.col("y.b").alias("y")), F.lit(0), lambda acc, p: acc + F.bit_count(p["x"].bitwiseXOR(p["y"])))
-        size = lambda t: F.shiftrightunsigned(F.col(f"{t}.q"), 16).bitwiseAND(F.lit(MOST))
-        both = size("x") + size("y")
-        close = (differ <= both - 2 * F.ceil(both * (threshold / (1 + threshold)) - 1e-9)) | (F.greatest(size("x"), size("y")) >= MOST)
+        close = ~_apart(F.col("x.b"), F.col("y.b"), _size("x") + _size("y"), threshold)
         once = F.get(F.array_intersect("x.ws", "y.ws"), F.lit(0)) == F.col("x.w")
         rest = left.alias("x").join(full.alias("y").hint("merge"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold) & close & once)
         rest = materialise(_pairs(rest).join(pairs.hint("merge"), ["xd", "xl", "yd", "yl"], "left_anti"), folder, "rest")
         release(spark)
-        found = found.unionByName(_alike(rest, texts, threshold))
+        found = found.unionByName(_first_alike(rest, texts, threshold, folder, "rest"))
     out = materialise(found.groupBy("d").agg(F.sort_array(F.collect_set("l")).alias("lines")).withColumnRenamed("d", "__row"), folder, "removed")
-    discard(spark, folder, "sets", "met", "pairs", "texts", "wide", "rest")
+    discard(spark, folder, "sets", "met", "pairs", "narrowed", "texts", "wide", "rest")
     release(spark)
     return out
 
