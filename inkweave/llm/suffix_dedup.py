@@ -15,7 +15,7 @@ cells of 16 strings and these by single strings, only where the bytes that a cel
 
 Cases: a null text is the empty text; texts shorter than the asked length keep all bytes; a rows' copies with one
 doc_id count as different places; a null doc_id is kept apart from others and treated like any text; an empty table
-gives an empty result; extra columns are ignored. Python memory follows one slice of texts and the distinct suffixes
+gives an empty result; extra columns are ignored; lengths over 1,037 bytes are refused. Python memory follows one slice of texts and the distinct suffixes
 of the commonest phrase.
 """
 
@@ -52,7 +52,7 @@ def _grams(t: bk.Texts) -> np.ndarray:
 
 
 def _suffixes(length: int, gap: int):
-    """Each shard's suffix order: first phrases, lengths (7 bits each), shard, rank, place.
+    """Each shard's suffix order: first phrases, lengths (8 bits each), shard, rank, place.
 
     c0 holds 64 bits of the first phrase's hash, c12 and c3s 32 bits of the next three (what repeats is checked later).
     kind 1: answered in the shard (c12 has the reach); kind 2: takes part for its copies in the shard too.
@@ -90,7 +90,7 @@ def _suffixes(length: int, gap: int):
             full = covered[order]
             packed = c[3] << _U(32)
             for j in range(DEPTH):
-                packed = packed | (np.minimum(lens[j][order], 127).astype(_U) << _U(7 * j))
+                packed = packed | (lens[j][order].astype(_U) << _U(8 * j))
             pair = (c[1] << _U(32)) | c[2]
             ids = b.column(0).to_numpy(zero_copy_only=False)[doc[order]]
             pos = start[order] - t.bounds[doc[order]]
@@ -155,7 +155,7 @@ def _merge(zone: int):
         shared = np.where(kind == 2, (symbols != 0).sum(axis=0), shared)
         covered = np.zeros(len(kind), np.int64)
         for j in range(DEPTH):
-            covered += np.where(shared > j, ((last >> _U(7 * j)) & _U(127)).astype(np.int64), 0)
+            covered += np.where(shared > j, ((last >> _U(8 * j)) & _U(255)).astype(np.int64), 0)
         reach = np.where(kind == 1, c12, _reach(covered, shared, zone))
         keep = np.flatnonzero(reach > 0)
         if not len(keep):
@@ -224,8 +224,9 @@ def _runs(length: int, gap: int):
             while len(open_):
                 k[open_] -= 1
                 open_ = open_[grams[anchors[k[open_]]] != low[w[open_]]]
+            # one row for each anchor, also where candidates pause: a document never meets itself at one place
             cut = np.ones(len(w), bool)
-            cut[1:] = (w[1:] != w[:-1] + 1) | (k[1:] != k[:-1])
+            cut[1:] = k[1:] != k[:-1]
             first = np.flatnonzero(cut)
             at, end = w[first], w[np.append(first[1:], len(w)) - 1] + 1
             row = bk.doc_of(t.bounds, at)
@@ -293,6 +294,8 @@ def _strings(length: int):
 def repeated_strings(rows: DataFrame, folder: str, length: int = LENGTH) -> DataFrame:
     """rows: row_id (unique), text. Returns row_id, marks: list of (pos, len): strings starting at len bytes from pos on repeat."""
     spark, gap = rows.sparkSession, max(1, (length - GRAM + 2) // 4)
+    if gap > 255:
+        raise ValueError("length: at most 1,037 bytes")  # a phrase's length, gap at most, stands in 8 bits
     fields = "kind byte, c0 long, c12 long, c3s long, shard int, rank int, row_id long, pos int"
     long_enough = rows.where(F.octet_length("text") >= length)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

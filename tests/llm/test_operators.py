@@ -15,7 +15,7 @@ from inkweave.llm import line_dedup as ld
 from inkweave.llm import mixing, queries, toxicity, warc
 from inkweave.llm import prob_minhash as pm
 from inkweave.llm.common import components, workspace
-from inkweave.llm.substring_dedup import repeated_windows, substring_dedup
+from inkweave.llm.substring_dedup import numbered, repeated_windows, substring_dedup
 from inkweave.llm.suffix_dedup import suffix_dedup
 from tests.compare import check
 
@@ -79,8 +79,18 @@ def test_substring_dedup(docs, rows, none):
     assert substring_dedup(none).count() == 0
 
 
+def test_substring_dedup_of_repeated_and_null_doc_ids(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    tail = " ".join(f"t{i}" for i in range(13))
+    rows = [(0, long), (1, long), (1, "x y z"), (1, f"a {tail}"), (1, f"b {tail}"), (2, f"c {tail}"), (None, long), (3, None), (2, f"c {tail}")]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_id", F.lit("clash"))).collect())
+    assert got == Counter([(0, 200, 0, long), (1, 200, 200, ""), (1, 3, 0, "x y z"), (1, 14, 0, f"a {tail}"), (1, 14, 0, f"b {tail}"), (2, 14, 13, "c"), (2, 14, 13, "c"), (None, 200, 0, long), (3, 0, 0, "")])
+    reach = {r["doc_id"]: r["longest_repeat"] for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), longest=0).collect()}
+    assert reach == {0: 104, 1: 104, 2: 13, 3: 0, None: 0}
+
+
 def test_doubling_goes_on_until_nothing_survives(spark, docs):
-    levels = repeated_windows(docs, workspace(spark))
+    levels = repeated_windows(numbered(docs, workspace(spark))[0], workspace(spark))
     assert [n for n, _ in levels[:3]] == [13, 26, 52] and levels[-1][1].isEmpty() and levels[-1][0] > 9000
 
 
@@ -104,6 +114,37 @@ def test_suffix_dedup(docs, rows, none):
     assert suffix_dedup(none).count() == 0
 
 
+def bytes_left(texts, size):
+    data = [(t or "").encode() for t in texts]
+    count, out = Counter(b[p : p + size] for b in data for p in range(len(b) - size + 1)), []
+    for b in data:
+        gone = bytearray(len(b))
+        for p in range(len(b) - size + 1):
+            if count[b[p : p + size]] > 1:
+                gone[p : p + size] = b"\1" * size
+        out.append((sum(gone), bytes(x for x, g in zip(b, gone) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("size", [400, 800, 1000])
+def test_suffix_dedup_of_overlapping_passages(spark, size):
+    r = random.Random(size)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randrange(2, 9)))
+    texts = []
+    for _ in range(120):
+        p = " ".join(word() for _ in range(size // 3))[: size * 7 // 5]
+        cut = [p[a : a + r.randrange(size * 8 // 10, size * 11 // 10)] for a in (0, size // 8, size // 4)]
+        texts += [f"{word()} {c} {word()}" for c in cut] + [f"{word()} {p} {word()}"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_removed"], bytes(r["kept"])) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), size).collect()}
+    assert got == dict(enumerate(bytes_left(texts, size)))
+
+
+def test_suffix_dedup_refuses_what_its_fields_cannot_hold(spark):
+    with pytest.raises(ValueError):
+        suffix_dedup(spark.createDataFrame([(1, "x")], "doc_id long, text string"), 2000)
+
+
 def test_suffix_dedup_of_repeated_rows(spark):
     t = "".join(random.Random(1).choices("abcdefgh ", k=900))
     got = suffix_dedup(spark.createDataFrame([(1, t), (1, t), (None, "x"), (2, "y")], "doc_id long, text string")).collect()
