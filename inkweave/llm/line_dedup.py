@@ -3,7 +3,7 @@
 A line is a set of words. Words are ordered by rarity (counts of all words of the corpus in 262,144 hash bins, a bound
 that doesn't grow, in steps of half a power of two; ties by hash), and lines that reach the similarity share a word
 among their rarest ones: of n words the first n - ceil(t n) + 1. Lines meet on these words; pairs that sizes, the
-word's positions or a parity sketch of 64 bits rule out are dropped, the others verified by the exact Jaccard
+word's positions or a parity sketch of 64 bits (128 in long lines) rule out are dropped, the others verified by the exact Jaccard
 similarity of their words. A line goes if an earlier one (smaller doc_id, or the same and a smaller line number) is
 similar, whether that one stays or goes.
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import GAP, WORD, discard, documents, materialise, release, workspace
 
 THRESHOLD, BINS, HOT = 0.8, 1 << 18, 512
-MOST, LONG = 65_535, 120
+#: Different words from which sizes are all the same, a pair's words from which 512 bits are compared, and a line's from which 128 are.
+MOST, LONG, WIDE = 65_535, 400, 90
 
 
 def _once(value: Column, use) -> Column:
@@ -97,6 +98,12 @@ def _size(t: str) -> Column:
     return F.shiftrightunsigned(F.col(f"{t}.q"), 16).bitwiseAND(F.lit(MOST))
 
 
+def _far(x: str, y: str) -> Column:
+    """In how many bits the sketches differ: 64, in long lines 128, since s is the sum of t and the other half."""
+    s, t = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in "st")
+    return F.when((_size(x) >= WIDE) & (_size(y) >= WIDE), F.bit_count(s.bitwiseXOR(t)) + F.bit_count(t)).otherwise(F.bit_count(s))
+
+
 def _need(both: Column, threshold: float) -> Column:
     """Words that similar lines of `both` words together share at least."""
     return F.ceil(both * (threshold / (1 + threshold)) - 1e-9)
@@ -108,7 +115,7 @@ def _may(x: str, y: str, threshold: float) -> Column:
     both = _size(x) + _size(y)
     need = _need(both, threshold)
     fits = (F.least(_size(x), _size(y)) >= F.greatest(_size(x), _size(y)) * threshold - 1e-9) & (F.least(left(x), left(y)) >= need)
-    fits = fits & (F.bit_count(F.col(f"{x}.s").bitwiseXOR(F.col(f"{y}.s"))) <= both - 2 * need)
+    fits = fits & (_far(x, y) <= both - 2 * need)
     return fits | (F.greatest(_size(x), _size(y)) >= MOST)
 
 
@@ -127,7 +134,7 @@ def _narrowed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 def _pairs(joined: DataFrame) -> DataFrame:
     """(n, far, xd, xl, yd, yl) of joined postings x and y; n: words of both; far: bits in which the sketches differ."""
-    return joined.select((_size("x") + _size("y")).alias("n"), F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))).alias("far"), F.col("x.d").alias("xd"), _line(F.col("x.q")).cast("int").alias("xl"), F.col("y.d").alias("yd"), _line(F.col("y.q")).cast("int").alias("yl")).distinct()
+    return joined.select((_size("x") + _size("y")).alias("n"), _far("x", "y").alias("far"), F.col("x.d").alias("xd"), _line(F.col("x.q")).cast("int").alias("xl"), F.col("y.d").alias("yd"), _line(F.col("y.q")).cast("int").alias("yl")).distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -167,28 +174,29 @@ def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, ho
     made = made.withColumn("s", word_keys(F.col("line"), rarity(base))).withColumn("n", F.size("s"))
     width = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     rare = F.transform(F.slice("s", F.lit(1), width), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    made = made.select("d", "l", "n", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(7)).alias("k2"), _parity(F.col("s")).alias("s"), F.when(F.col("n") >= least, rare).alias("rare"))
+    odd = F.when(F.col("n") >= WIDE, _parity(F.filter("s", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    made = made.select("d", "l", "n", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(7)).alias("k2"), _parity(F.col("s")).alias("s"), odd.alias("t"), F.when(F.col("n") >= least, rare).alias("rare"))
     lines = materialise(made, folder, "lines")
     # the first line of each word set that more than one line has
     first = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("f"), F.count("*").alias("copies")).where("copies > 1").select("k1", "k2", "f")
     sets = lines.join(first.hint("merge"), ["k1", "k2"], "left").withColumn("again", F.coalesce((F.col("d") != F.col("f.d")) | (F.col("l") != F.col("f.l")), F.lit(False)))
-    sets = materialise(sets.select("d", "l", "again", F.least("n", F.lit(MOST)).alias("n"), F.when(~F.col("again"), F.col("s")).alias("s"), F.when(~F.col("again"), F.col("rare")).alias("rare")), folder, "sets")
+    sets = materialise(sets.select("d", "l", "again", F.least("n", F.lit(MOST)).alias("n"), F.when(~F.col("again"), F.col("s")).alias("s"), F.when(~F.col("again"), F.col("t")).alias("t"), F.when(~F.col("again"), F.col("rare")).alias("rare")), folder, "sets")
     del lines, first
     discard(spark := base.sparkSession, folder, "lines")
     release(spark)
     q = lambda pos: F.shiftleft(F.col("l").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 16)).bitwiseOR(F.least(pos, F.lit(MOST)).cast("long"))
-    posts = sets.where("not again and rare is not null").select("d", "l", "n", "s", F.posexplode("rare").alias("pos", "w")).select("w", "d", q(F.col("pos")).alias("q"), "s")
+    posts = sets.where("not again and rare is not null").select("d", "l", "n", "s", "t", F.posexplode("rare").alias("pos", "w")).select("w", "d", q(F.col("pos")).alias("q"), "s", "t")
     many = posts.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
     cold = posts.join(many.where(F.col("c") <= hot).select("w").hint("shuffle_hash"), "w")
     meet = cold.alias("x").join(cold.alias("y").hint("merge"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold))
     none = lambda *kinds: [F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in kinds]
-    cold_pairs = _pairs(meet).select("n", "far", "xd", "xl", "yd", "yl", *none("w int", "q long", "s long"))
-    crowd = posts.join(many.where(F.col("c") > hot).select("w").hint("shuffle_hash"), "w").select(*none("n long", "far int"), F.col("d").alias("xd"), *none("xl int", "yd long", "yl int"), "w", "q", "s")
+    cold_pairs = _pairs(meet).select("n", "far", "xd", "xl", "yd", "yl", *none("w int", "q long", "s long", "t long"))
+    crowd = posts.join(many.where(F.col("c") > hot).select("w").hint("shuffle_hash"), "w").select(*none("n long", "far int"), F.col("d").alias("xd"), *none("xl int", "yd long", "yl int"), "w", "q", "s", "t")
     met = materialise(cold_pairs.unionByName(crowd), folder, "met")
     del posts, many, cold, meet, cold_pairs, crowd
     release(spark)
-    pairs, crowd = met.where("w is null").select("n", "far", "xd", "xl", "yd", "yl"), met.where("w is not null").select("w", F.col("xd").alias("d"), "q", "s")
-    lead = crowd.groupBy("w").agg(F.min(F.struct("d", "q", "s")).alias("m")).select("w", "m.*")
+    pairs, crowd = met.where("w is null").select("n", "far", "xd", "xl", "yd", "yl"), met.where("w is not null").select("w", F.col("xd").alias("d"), "q", "s", "t")
+    lead = crowd.groupBy("w").agg(F.min(F.struct("d", "q", "s", "t")).alias("m")).select("w", "m.*")
     star = _pairs(crowd.alias("x").join(lead.alias("y"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold)))
     pairs = materialise(pairs.unionByName(star).distinct(), folder, "pairs")
     release(spark)
