@@ -20,12 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A folder of this call's own below spark.checkpoint.dir, which every executor shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A folder of this call's own below spark.checkpoint.dir, which every executor shares.
+
+    Where that is unset (as in tests), it lies below the warehouse, on whatever file system that is.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     return f"{base.rstrip('/')}/inkweave-{uuid.uuid4().hex}"
 
 
@@ -91,4 +90,6 @@ def components(edges: DataFrame, folder: str, name: str, max_rounds: int = 60) -
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: edges still change after {max_rounds} rounds")
     return cur.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()

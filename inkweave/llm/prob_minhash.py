@@ -11,11 +11,11 @@ Documents with equal shingle sets are one representative. Representatives that a
 candidates: in each bucket all are compared with its leader, the document that shares most buckets (in a group of
 edited copies that is the one nearest to all). What doesn't reach the leader's class is compared with members of other
 classes, but for pairs that the distances to the leader rule out (Jaccard distance is a metric, so these can't be
-similar), or whose shingles that no other candidate has are too many. A link is an exact Jaccard similarity of the shingle sets of `threshold` or more.
+similar), or whose shingles that no other candidate has, or differing bits of a parity sketch of 512, are too many. A link is an exact Jaccard similarity of the shingle sets of `threshold` or more.
 n_verified_links counts those that were compared: other members of a class may be similar, too.
 
 Cases: a null text is the empty text; documents without words are one class; a text of one to four words is one
-shingle; rows with equal doc_id count once in links and each get a row; a null doc_id is a class of its own, with
+shingle; rows with equal doc_id count once, with the smallest of their texts, and each get a row; a null doc_id is a class of its own, with
 class_id null; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -32,6 +32,7 @@ from . import bytekit as bk
 from .common import components, discard, documents, materialise, release, workspace
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 26, 5, 0.8
+PARITY = 512
 _U = np.uint64
 
 
@@ -111,23 +112,31 @@ def _sketch(bands: int, rows: int):
     return run
 
 
+def parity_bits(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """n x PARITY / 64 numbers: bit by bit the parity of a document's hashes that fall on it. Sets differ in as many hashes as bits at least."""
+    odd = np.bincount(doc * PARITY + (h & _U(PARITY - 1)).astype(np.int64), minlength=n * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, PARITY), axis=1).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in bk.slices(batches, "text", 2 << 20):
         t = bk.Texts(b.column(1))
         h, doc, _ = counted(*shingles(t))
         at = np.append(0, np.cumsum(np.bincount(doc, minlength=t.n))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["id", "s"])
+        wide = np.arange(0, t.n * PARITY // 64 + 1, PARITY // 64, dtype=np.int32)
+        bits = pa.ListArray.from_arrays(pa.array(wide), pa.array(parity_bits(h, doc, t.n).ravel()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64))), bits], ["id", "s", "p"])
 
 
 def shingle_sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, s (distinct shingle hashes) of the documents whose doc_id is in ids (id)."""
-    text = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return text.select("doc_id", "text").mapInArrow(_sets, "id long, s array<long>")
+    """id, s (distinct shingle hashes), p (their parity bits) of the documents whose doc_id (unique) is in ids (id)."""
+    return docs.join(ids.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "id long, s array<long>, p array<long>")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b) of doc_ids with sim, the exact Jaccard similarity of their shingle sets (id, s)."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"s{x}")).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("sim"))
 
@@ -137,10 +146,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     spark, folder = docs.sparkSession, folder or workspace(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = base.where("doc_id is not null")
+    times = None
+    if not known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        times = materialise(known.groupBy("doc_id").agg(F.min("text").alias("text"), F.count("*").alias("times")), folder, "unique")
+        known = times.select("doc_id", "text")
     sketch = materialise(known.mapInArrow(_sketch(bands, rows), "doc_id long, k1 long, k2 long, n long, bands array<long>"), folder, "sketches")
     one = sketch.groupBy("k1", "k2").agg(F.min("doc_id").alias("set_id"))
     members = materialise(sketch.select("doc_id", "k1", "k2").join(one, ["k1", "k2"]).select("doc_id", "set_id"), folder, "members")
-    firsts = sketch.where("n > 0").join(one.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("bands").alias("bands"))
+    firsts = sketch.where("n > 0").join(one.select(F.col("set_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "bands")
     buckets = materialise(firsts.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct("bands")).alias("band")), folder, "bands")
     shared = materialise(buckets.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), folder, "shared")
     filled = buckets.join(shared, "band")
@@ -149,9 +162,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     leaders = filled.groupBy("band").agg(F.max(F.struct("fame", (-F.col("id")).alias("neg"))).alias("m")).select("band", (-F.col("m.neg")).alias("lead"))
     led = filled.join(leaders, "band").select("band", "id", "lead")
     pairs = led.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    stars = materialise(verify(pairs, shingle_sets(ends, known)), folder, "stars")
-    del sketch, one, firsts, buckets, shared, fame, leaders, pairs, ends
+    sets = materialise(shingle_sets(fame.select("id"), known), folder, "sets")
+    release(spark)
+    stars = materialise(verify(pairs, sets), folder, "stars")
+    del sketch, one, firsts, buckets, shared, fame, leaders, pairs
     release(spark)
     links = stars.where(F.col("sim") >= threshold).select("a", "b")
     classes = components(links, folder, "classes")
@@ -161,20 +175,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     rest = materialise(placed.join(split, "band", "left_semi"), folder, "rest")
     # leftovers (below the threshold to their leader) against members of other classes, but for pairs that can't be
     # similar: by the metric, or because shingles that no other document of these buckets has are too many
-    sets = materialise(shingle_sets(rest.select("id").distinct(), known), folder, "rest-sets")
+    sets = materialise(sets.join(rest.select("id").distinct().hint("merge"), "id", "left_semi"), folder, "rest-sets")
     own = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("u"))
-    sizes = sets.select("id", F.size("s").alias("n")).join(own, "id", "left").select("id", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("shared"))
+    sizes = sets.select("id", F.size("s").alias("n"), "p").join(own, "id", "left").select("id", "n", "p", (F.col("n") - F.coalesce("u", F.lit(0))).alias("shared"))
     rest = materialise(rest.join(sizes, "id"), folder, "rest-sizes")
-    left = rest.where(F.col("sim") < threshold).where(F.col("shared") >= F.col("n") * threshold - 1e-9).select("band", F.col("id").alias("x"), F.col("sim").alias("sx"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("shared").alias("hx"))
-    right = rest.where("sim < 1").where(F.col("shared") >= F.col("n") * threshold - 1e-9).select("band", F.col("id").alias("y"), F.col("sim").alias("sy"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("shared").alias("hy"))
+    left = rest.where(F.col("sim") < threshold).where(F.col("shared") >= F.col("n") * threshold - 1e-9).select("band", F.col("id").alias("x"), F.col("sim").alias("sx"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("shared").alias("hx"), F.col("p").alias("px"))
+    right = rest.where("sim < 1").where(F.col("shared") >= F.col("n") * threshold - 1e-9).select("band", F.col("id").alias("y"), F.col("sim").alias("sy"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("shared").alias("hy"), F.col("p").alias("py"))
     near = F.abs(F.col("sx") - F.col("sy")) <= (1 - threshold) + 1e-9
     most = F.least("hx", "hy")
     able = most >= threshold * (F.col("nx") + F.col("ny") - most) - 1e-9
+    # a bit in which the parities differ stands for a shingle that only one side has
+    differ = sum((F.bit_count(F.get("px", F.lit(i)).bitwiseXOR(F.get("py", F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
+    both = F.col("nx") + F.col("ny")
+    able = able & (differ <= both - 2 * F.ceil(both * (threshold / (1 + threshold)) - 1e-9))
     more = left.join(right, (left["band"] == right["band"]) & (F.col("rx") != F.col("ry")) & near & able & ((F.col("sy") >= threshold) | (F.col("x") < F.col("y"))))
     more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
     extra = materialise(verify(more, sets).where(F.col("sim") >= threshold).select("a", "b"), folder, "extra")
     del placed, split, rest, left, right, more, led, sets, own, sizes
-    discard(spark, folder, "rest-sets")
+    discard(spark, folder, "sets", "rest-sets")
     release(spark)
     if not extra.isEmpty():
         links = links.unionByName(extra)
@@ -182,6 +200,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
     count = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count("*").alias("n_verified_links"))
     by_set = classes.select(F.col("id").alias("set_id"), F.col("root").alias("class_id")).join(count, "set_id", "left")
     out = members.join(by_set, "set_id", "left").select("doc_id", F.coalesce("class_id", "set_id").alias("class_id"), "set_id", F.coalesce("n_verified_links", F.lit(0)).cast("long").alias("n_verified_links"))
+    if times is not None:
+        out = out.join(times.select("doc_id", "times"), "doc_id").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times", "nth")
     lost = base.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("set_id"), F.lit(0).cast("long").alias("n_verified_links"))
     return out.unionByName(lost)
 

@@ -30,3 +30,17 @@ def test_unit_bands_only_where_shingles_repeat():
 def test_links_are_named_for_what_they_count(spark):
     out = pm.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (None, "x")], "doc_id long, text string"))
     assert out.columns == ["doc_id", "class_id", "set_id", "n_verified_links"] and out.count() == 2
+
+
+def test_parity_bits_bound_what_differs():
+    h = pm.bk.mix(np.arange(1, 400, dtype=np.uint64))
+    a, b = h[:250], h[20:300]
+    p = pm.parity_bits(np.concatenate((a, b)), np.repeat([0, 1], [250, 280]), 2)
+    assert p.shape == (2, 8) and 40 <= np.bitwise_count((p[0] ^ p[1]).view(np.uint64)).sum() <= 70
+    assert pm.parity_bits(a[:0], np.zeros(0, int), 1).tolist() == [[0] * 8]
+
+
+def test_repeated_doc_ids_count_once(spark):
+    rows = [(1, "b b b b b b c"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, "long " * 3000)]
+    out = pm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in out) == [(1, 1)] * 3 + [(2, 1), (3, 3)]
