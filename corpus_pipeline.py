@@ -23,7 +23,7 @@ from inkweave.llm.common import materialise, workspace
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     weights = _tox.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    name = "score" if "score" not in docs.columns else "_score"
+    name = "_".join(["score", *docs.columns])  # a name that no column has
     return _tox.score(docs, weights, name).where(F.col(name) < 0.5).drop(name)
 
 
