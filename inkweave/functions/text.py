@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .. import model as m
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use() names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def truncated(c: Column, most: int) -> Column:
     """At most `most` characters, the last three dots where cut."""
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
@@ -59,8 +64,8 @@ def content_id(c: Column) -> Column:
 
 def matched(c: Column, keywords: tuple[str, ...]) -> Column:
     """Sorted keywords that the folded text contains."""
-    text = folded(c)
-    return F.filter(F.array(*[F.lit(k) for k in sorted(keywords)]), lambda k: F.contains(text, k))
+    listed = F.array(*[F.lit(k) for k in sorted(keywords)])
+    return once(folded(c), lambda text: F.filter(listed, lambda k: F.contains(text, k)))
 
 
 def paradigm(stem: Column, hss: Column) -> Column:
@@ -91,17 +96,29 @@ def close(a: Column, b: Column, rel: float = 0.01, floor: float = 1e-9) -> Colum
     return F.abs(a - b) <= F.greatest(F.lit(rel) * F.greatest(F.abs(a), F.abs(b)), F.lit(floor))
 
 
-def ngrams(c: Column, n: int) -> Column:
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def ngrams(chars: Column, n: int, most: int) -> Column:
+    """The first `most` n-grams of an array of characters."""
+    last = F.least(F.size(chars) - n + 1, F.lit(most))
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(*[F.get(chars, i + (j - 1)) for j in range(n)]))).otherwise(F.array().cast("array<string>"))
+
 
+def keywords(c: Column, most: int = 40, stop: tuple[str, ...] = (), hints: Column | None = None) -> Column:
+    """Hints, tokens of two or more characters, then character 4-, 3- and 2-grams, distinct, the first `most`.
 
-def keywords(c: Column, most: int = 40, stop: tuple[str, ...] = ()) -> Column:
-    """Tokens of two or more characters, then character 4-, 3- and 2-grams, distinct, the first `most`."""
+    Of each kind of n-grams only as many are cut as can bring `most` different ones in a text that repeats none; where
+    these repeat too often, all are.
+    """
     clean = F.translate(F.translate(c, "？，。；：、", "      "), "「」”“", "")
     keep = lambda x: ~x.isin(*stop) if stop else F.lit(True)
     tokens = F.filter(F.split(clean, r"\s+"), lambda x: (F.length(x) >= 2) & keep(x))
-    raw = F.replace(clean, F.lit(" "), F.lit(""))
-    return F.slice(F.array_distinct(F.concat(tokens, ngrams(raw, 4), ngrams(raw, 3), ngrams(raw, 2))), 1, most)
+    tokens = F.concat(hints, tokens) if hints is not None else tokens
+
+    def picked(chars: Column, cut: int) -> Column:
+        return F.array_distinct(F.concat(tokens, *[ngrams(chars, n, cut) for n in (4, 3, 2)]))
+
+    chars = F.filter(F.split(F.replace(clean, F.lit(" "), F.lit("")), ""), lambda x: x != "")
+    few = lambda chars: once(F.array_distinct(F.concat(tokens, ngrams(chars, 4, 4 * most))), lambda x: F.when((F.size(x) >= most) | (F.size(chars) <= 4 * most), F.slice(F.array_distinct(F.concat(x, ngrams(chars, 3, 4 * most), ngrams(chars, 2, 4 * most))), 1, most)))
+    return once(chars, lambda chars: F.coalesce(few(chars), F.slice(picked(chars, 1 << 30), 1, most)))
 
 
 def token_jaccard(a: Column, b: Column) -> Column:

@@ -24,7 +24,7 @@ LABEL_MAX, SPAN_MAX = 120, 500
 
 #: Section titles and their canonical names.
 SECTION_ALIASES = {
-    "abstract": "abstract", "introduction": "introduction", "related work": "related_work", "background": "background", "preliminaries": "preliminaries",
+    "abstract": "abstract", "summary": "abstract", "introduction": "introduction", "related work": "related_work", "background": "background", "preliminaries": "preliminaries",
     "method": "methods", "methods": "methods", "methodology": "methods", "model": "methods", "architecture": "methods",
     "experiment": "experiments", "experiments": "experiments", "experimental setup": "experiments",
     "evaluation": "results", "results": "results", "findings": "results", "discussion": "discussion",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.chunks import chunk_documents
+from ..operators.chunks import chunk_documents, register
 from ..operators.components import components
 from ..registry import query
 from ..sources.fixtures import GRAPH_SQL, edges, nodes, table
@@ -13,7 +13,16 @@ from ..streaming.stateful import admitted, breaker
 
 @query("h01_chunks")
 def chunk_query(spark, sf):
-    return chunk_documents(table(spark, sf, "documents")).select("doc_id", "chunk_id", "chunk_index", "section", "char_start", "char_end", F.md5("text").alias("digest"))
+    """Pages end every 3,000 characters here."""
+    d = table(spark, sf, "documents").withColumn("pages", F.sequence(F.lit(3000), F.greatest(F.length("text"), F.lit(3000)), F.lit(3000)))
+    return chunk_documents(d, "pages").select("doc_id", "chunk_id", "chunk_index", "section", "char_start", "char_end", "page_start", "page_end", F.md5("text").alias("digest"))
+
+
+@query("x05_chunk_function")
+def chunk_function(spark, sf):
+    register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("inkweave_documents")
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.section, c.char_start, c.char_end FROM inkweave_documents d, LATERAL chunk_text(d.text) c")
 
 
 @query("g01_components", f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT paper_id, source AS a, target AS b FROM edges WHERE type = 'EVALUATED_ON'), n AS (SELECT paper_id, id FROM nodes WHERE type IN ('Method', 'Dataset')),

@@ -26,17 +26,13 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     it = _items(spark, sf)
     key = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string")).alias("id")
     paper = F.col("c_nationkey").cast("long").alias("paper_id")
-    parts = [
-        c.select(paper, key("c", "c_custkey"), F.col("c_name").alias("label"), F.lit("ResearchQuestion").alias("type")),
-        o.join(c, o.o_custkey == c.c_custkey).select(paper, key("o", "o_orderkey"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("label"), F.lit("Claim").alias("type")),
-        it.select("paper_id", key("p", "l_partkey"), F.col("p_name").alias("label"), F.lit("Evidence").alias("type")).distinct(),
-        it.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("paper_id", key("s", "l_suppkey"), F.col("s_name").alias("label"), F.lit("Method").alias("type")).distinct(),
-        it.select("paper_id", key("b", "p_brand"), F.col("p_brand").alias("label"), F.lit("Dataset").alias("type")).distinct(),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one pass over the items gives a row for each of its part, supplier and brand
+    node = lambda key_, label, kind: F.struct("paper_id", key_, F.col(label).alias("label"), F.lit(kind).alias("type"))
+    named = it.join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    met = named.select(F.inline(F.array(node(key("p", "l_partkey"), "p_name", "Evidence"), node(key("s", "l_suppkey"), "s_name", "Method"), node(key("b", "p_brand"), "p_brand", "Dataset")))).distinct()
+    customers = c.select(paper, key("c", "c_custkey"), F.col("c_name").alias("label"), F.lit("ResearchQuestion").alias("type"))
+    claims = o.join(c, o.o_custkey == c.c_custkey).select(paper, key("o", "o_orderkey"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("label"), F.lit("Claim").alias("type"))
+    return customers.unionByName(claims).unionByName(met)
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,11 +41,11 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     it = _items(spark, sf)
     k = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
     none = F.lit(None).cast("string").alias("rationale")
+    edge = lambda name, target, kind: F.struct("paper_id", name.alias("id"), k("s", "l_suppkey").alias("source"), target.alias("target"), F.lit(kind).alias("type"), none)
     parts = [
         o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").cast("long").alias("paper_id"), k("a", "o_orderkey").alias("id"), k("o", "o_orderkey").alias("source"), k("c", "o_custkey").alias("target"), F.lit("ADDRESSES").alias("type"), none),
         it.select("paper_id", F.concat(k("u", "l_orderkey"), F.lit("_"), F.col("l_linenumber").cast("string")).alias("id"), k("p", "l_partkey").alias("source"), k("o", "l_orderkey").alias("target"), F.lit("SUPPORTS").alias("type"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).alias("rationale")),
-        it.select("paper_id", F.concat(k("r", "l_suppkey"), F.lit("_"), F.col("l_partkey").cast("string")).alias("id"), k("s", "l_suppkey").alias("source"), k("p", "l_partkey").alias("target"), F.lit("RELATES_TO").alias("type"), none).distinct(),
-        it.select("paper_id", F.concat(k("v", "l_suppkey"), F.lit("_"), F.col("p_brand")).alias("id"), k("s", "l_suppkey").alias("source"), k("b", "p_brand").alias("target"), F.lit("EVALUATED_ON").alias("type"), none).distinct(),
+        it.select(F.inline(F.array(edge(F.concat(k("r", "l_suppkey"), F.lit("_"), F.col("l_partkey").cast("string")), k("p", "l_partkey"), "RELATES_TO"), edge(F.concat(k("v", "l_suppkey"), F.lit("_"), F.col("p_brand")), k("b", "p_brand"), "EVALUATED_ON")))).distinct(),
     ]
     out = parts[0]
     for p in parts[1:]:

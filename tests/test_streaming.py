@@ -2,7 +2,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from inkweave.operators.chunks import _HEAD, SIZE, chunk_documents, normalised
+from inkweave.operators.chunks import _HEADING, SIZE, chunk_documents, normalised
 from inkweave.streaming import stateful as st
 
 
@@ -56,4 +56,4 @@ def test_chunks_cover_the_text(spark):
         for a, b in zip(rows, rows[1:]):
             assert a["char_start"] < b["char_start"] and a["char_end"] < b["char_end"]
             # a chunk that ends early leaves what lies before the next step uncovered, but no more than that
-            assert b["char_start"] <= max(a["char_end"], a["char_start"] + SIZE) or _HEAD.search(texts[doc][a["char_end"] : b["char_start"]])
+            assert b["char_start"] <= max(a["char_end"], a["char_start"] + SIZE) or _HEADING.search(texts[doc][a["char_end"] : b["char_start"]])
