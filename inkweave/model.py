@@ -5,6 +5,7 @@ HSS_NODE_TYPES = ("Thesis", "SubArgument", "AnalyticalLens", "IntellectualContex
 STEM_EDGE_TYPES = ("ADDRESSES", "USES_METHOD", "EVALUATED_ON", "MEASURED_BY", "COMPARES_TO", "SUPPORTS", "PRODUCES", "RELATES_TO")
 HSS_EDGE_TYPES = ("CHALLENGES", "SUB_ARGUMENT_OF", "EXAMINES_THROUGH", "SUPPORTS", "CONTEXTUALIZES", "RELATES_TO", "LENS_OF", "INFORMS", "REF")
 FORBIDDEN_EDGE_TYPES = ("SUPPORTED_BY",)
+CORE_EDGE_TYPES = ("SUPPORTS", "CONTRADICTS", "EXPLAINS")
 DYNAMIC_EDGE_TYPE = "^[A-Z][A-Z0-9_]*$"
 
 #: Legal (from, to) pairs of paper statuses.

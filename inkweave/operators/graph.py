@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as m
@@ -35,6 +35,13 @@ def violations(nodes: DataFrame, edges: DataFrame, node_types=m.STEM_NODE_TYPES,
     return every.groupBy("paper_id", "rule").agg(F.count("*").alias("n"))
 
 
+def core_edge_flags(edges: DataFrame, span: Column) -> DataFrame:
+    """Missing confidence is MEDIUM and flagged; edges of core types without rationale or span are incomplete."""
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    lacks = F.col("type").isin(*m.CORE_EDGE_TYPES) & (empty(F.col("rationale")) | empty(span))
+    return edges.withColumn("confidence_missing", F.col("confidence").isNull()).withColumn("confidence", F.coalesce("confidence", F.lit("MEDIUM"))).withColumn("incomplete", lacks)
+
+
 def degrees(edges: DataFrame, loops: int = 2) -> DataFrame:
     """A10: incident edges per node; a self-loop adds `loops` (2 or 1)."""
     ends = endpoints(edges) if loops == 2 else edges.select("paper_id", F.explode(F.array_distinct(F.array("source", "target"))).alias("id"))
@@ -92,8 +99,8 @@ def primary_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def top_nodes(nodes: DataFrame, edges: DataFrame, most: int = m.MAX_SKELETON_NODES) -> DataFrame:
-    """The `most` nodes of highest degree of each paper, ties by id."""
-    d = nodes.join(degrees(edges, 1), ["paper_id", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    """W04 without the component step (see clusters.skeleton): the `most` nodes of highest degree of each paper, ties by id."""
+    d = nodes.join(degrees(edges), ["paper_id", "id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     w = Window.partitionBy("paper_id").orderBy(F.col("degree").desc(), "id")
     return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
