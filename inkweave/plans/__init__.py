@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
 from ..registry import ORACLES, QUERIES
-from . import graph_queries, python_queries, qa_queries, status_queries, store_queries, text_queries
+from . import graph_queries, python_queries, qa_queries, rule_queries, status_queries, store_queries, text_queries
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries", "python_queries", "qa_queries", "status_queries", "store_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "python_queries", "qa_queries", "rule_queries", "status_queries", "store_queries", "text_queries"]
