@@ -122,3 +122,13 @@ def margins(cases: DataFrame, by: list[str]) -> DataFrame:
     p = F.col("positive")
     out = cases.groupBy(*by).agg(F.min(F.when(p, F.col("score") - F.col("theta"))).alias("a"), F.min(F.when(~p, F.col("theta") - F.col("score"))).alias("b"), F.min(F.when(p, F.col("score"))).alias("low"), F.max(F.when(~p, F.col("score"))).alias("high"))
     return out.select(*by, F.round("a", 4).alias("min_margin"), F.round("b", 4).alias("min_safety"), F.round((F.col("low") + F.col("high")) / 2, 4).alias("suggested"))
+
+
+def ranked(rows: DataFrame, bucket: Column, order: list[Column]) -> DataFrame:
+    """Rows numbered from 1 by bucket (descending), then `order`. One task sees a row for each bucket only: take a key that many rows share, such as the hour."""
+    keyed = rows.withColumn("__bucket", bucket)
+    counts = keyed.groupBy("__bucket").agg(F.count("*").alias("__n"))
+    before = Window.orderBy(F.col("__bucket").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("__bucket").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    out = keyed.join(offsets, F.col("__bucket").eqNullSafe(F.col("__of")))
+    return out.withColumn("rank", F.col("__offset") + F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))).drop("__bucket", "__of", "__offset")

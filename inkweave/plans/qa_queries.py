@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import routing
 from ..functions import text as t
 from ..operators import graph as g
 from ..registry import query
@@ -12,10 +13,9 @@ from ..sources.fixtures import GRAPH_SQL, TURNS_SQL, edges, nodes, table, turns
 
 Q, G = f"WITH {TURNS_SQL}", f"WITH {GRAPH_SQL}"
 
-#: English keywords of the question-scale rules, in their order of precedence: fixed values.
+#: English words of the routing rules for the SQL (conversations of the fixtures are English): fixed values.
 CROSS = ("compare to", "compare with", "compared to", "compared with", "versus", " vs ", " vs.")
 DETAIL = ("dataset", "accuracy", "f1-score", "table", "figure", "parameter", "baseline", "metric", "hyperparameter", "p-value", "p value", "mnist", "imagenet", "resnet", "experiment", "page", "method", "detail")
-SUMMARY = ("summarize", "summary of the main", "main contributions", "methodology of this work", "summarize the methodology", "this paper", "summary", "overview")
 
 ASK = """ask AS (SELECT conv_id, turn, question || (['', ' compared with another', ' which dataset?', ' 95.5% of it', ' give a summary', ' overview of x-101'])[1 + (conv_id + turn) % 6] AS q FROM qa)"""
 
@@ -25,27 +25,20 @@ def _ask(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", F.concat("question", more).alias("q"))
 
 
-def _any(c, words, bounded):
-    if bounded:
-        return c.rlike(r"\b(" + "|".join(words) + r")\b")
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
-
-
 @query("p17_question_scale", Q + ", " + ASK + f""" SELECT conv_id, turn, CASE WHEN {' OR '.join(f"contains(lower(q), '{w}')" for w in CROSS)} THEN 'cross_paper' WHEN trim(q) = '' THEN 'summary' WHEN regexp_matches(lower(q), '\\b({'|'.join(DETAIL)})\\b') OR regexp_matches(q, '\\b\\d+(\\.\\d+)?%?') THEN 'detail' ELSE 'summary' END AS scale FROM ask""")
 def question_scale(spark, sf):
-    low = F.lower("q")
-    return _ask(spark, sf).select("conv_id", "turn", F.when(_any(low, CROSS, False), "cross_paper").when(F.trim("q") == "", "summary").when(_any(low, DETAIL, True) | F.col("q").rlike(r"\b\d+(\.\d+)?%?"), "detail").otherwise("summary").alias("scale"))
+    return _ask(spark, sf).select("conv_id", "turn", routing.question_scale(F.col("q")).alias("scale"))
 
 
 @query("p16_cross_paper_intent", Q + ", " + ASK + f""" SELECT conv_id, turn, ({' OR '.join(f"contains(lower(q), '{w}')" for w in CROSS)}) OR regexp_matches(lower(q), '\\b[a-z][a-z0-9]*-\\d{{3,}}\\b') AS intent FROM ask""")
 def cross_paper_intent(spark, sf):
-    low = F.lower("q")
-    return _ask(spark, sf).select("conv_id", "turn", (_any(low, CROSS, False) | low.rlike(r"\b[a-z][a-z0-9]*-\d{3,}\b")).alias("intent"))
+    """Asked of a paper p-1."""
+    return _ask(spark, sf).select("conv_id", "turn", routing.cross_paper(F.col("q"), F.lit("p-1")).alias("intent"))
 
 
 @query("p20_rejected_questions", Q + ", " + ASK + f""" SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE {' OR '.join(f"contains(lower(q), '{w}')" for w in CROSS)}) AS n_rejected FROM ask GROUP BY 1""")
 def rejected_questions(spark, sf):
-    return _ask(spark, sf).groupBy("conv_id").agg(F.count("*").alias("n"), F.count(F.when(_any(F.lower("q"), CROSS, False), 1)).alias("n_rejected"))
+    return _ask(spark, sf).groupBy("conv_id").agg(F.count("*").alias("n"), F.count(F.when(routing.cross_paper(F.col("q")), 1)).alias("n_rejected"))
 
 
 @query("p18_scale_coercion", "SELECT page_id, CASE x WHEN 'skeleton' THEN 'summary' WHEN 'cross' THEN 'cross_paper' WHEN 'detail' THEN 'detail' END AS scale FROM (SELECT page_id, (['skeleton', 'cross', 'detail', 'odd'])[1 + page_id % 4] AS x FROM pages)")
@@ -80,10 +73,10 @@ def sanitise(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", F.md5(F.regexp_replace(F.regexp_replace(F.replace(said, F.lit("`"), F.lit("")), r"\*{2,}", ""), " {2,}", " ")).alias("digest"))
 
 
-@query("h10_classifier_input", "SELECT doc_id, substr(concat_ws(chr(10) || chr(10), 'Title: ' || nullif(source, 'src3'), 'Abstract: ' || nullif(substr(text, 1, 200), ''), 'Keywords: ' || nullif(lang, 'en')), 1, 12000) AS input FROM documents")
+@query("h10_classifier_input", "SELECT doc_id, substr(concat_ws(chr(10) || chr(10), 'Title: ' || nullif(source, 'src3'), 'Abstract: ' || nullif(text, ''), 'Keywords: ' || nullif(lang, 'en')), 1, 12000) AS input FROM documents")
 def classifier_input(spark, sf):
     part = lambda name, c: F.concat(F.lit(f"{name}: "), c)
-    return table(spark, sf, "documents").select("doc_id", F.substring(F.concat_ws("\n\n", part("Title", F.nullif("source", F.lit("src3"))), part("Abstract", F.nullif(F.substring("text", 1, 200), F.lit(""))), part("Keywords", F.nullif("lang", F.lit("en")))), 1, 12000).alias("input"))
+    return table(spark, sf, "documents").select("doc_id", F.substring(F.concat_ws("\n\n", part("Title", F.nullif("source", F.lit("src3"))), part("Abstract", F.nullif("text", F.lit(""))), part("Keywords", F.nullif("lang", F.lit("en")))), 1, 12000).alias("input"))
 
 
 @query("h26_usage_fallback", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE source END), ''), nullif(lang, 'en'), 'no usage given') AS usage FROM documents")
@@ -143,9 +136,9 @@ def guardrails(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", every.alias("required"), none.alias("allowed"), (every & none).alias("passed"))
 
 
-@query("a26_head_quality", "SELECT doc_id, CAST(length(source) BETWEEN 4 AND 200 AS INT) + CAST(n_chars > 500 AS INT) + CAST(length(lang) = 2 AS INT) + CAST(NOT contains(lower(substr(text, 1, 300)), 'license') AS INT) AS score FROM documents")
+@query("a26_head_quality", "SELECT doc_id, CAST(length(source) BETWEEN 4 AND 200 AS INT) + CAST(n_chars > 500 AS INT) + CAST(length(lang) = 2 AS INT) + CAST(NOT contains(lower(text), 'license') AS INT) AS score FROM documents")
 def head_quality(spark, sf):
-    tests = (F.length("source").between(4, 200), F.col("n_chars") > 500, F.length("lang") == 2, ~F.contains(F.lower(F.substring("text", 1, 300)), F.lit("license")))
+    tests = (F.length("source").between(4, 200), F.col("n_chars") > 500, F.length("lang") == 2, ~F.contains(F.lower("text"), F.lit("license")))
     return table(spark, sf, "documents").select("doc_id", sum((x.cast("int") for x in tests), F.lit(0)).alias("score"))
 
 
@@ -168,20 +161,25 @@ def number_difference(spark, sf):
     return want.join(have, (F.col("w.user_id") == F.col("h.user_id")) & t.close(F.col("w.value"), F.col("h.value")), "left_anti").select("event_id")
 
 
-@query("e12_hybrid_retrieval", Q + ", " + ASK + ", s AS (SELECT conv_id, turn, conv_id % 10 AS label, length(q) > 150 AS skip FROM ask), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), b AS (SELECT label, min(vec_id) AS probe FROM e GROUP BY 1), r AS (SELECT b.label, e.vec_id, row_number() OVER (PARTITION BY b.label ORDER BY round(list_distance(p.v, e.v) ** 2, 4), e.vec_id) AS rank FROM b JOIN e p ON p.vec_id = b.probe JOIN e ON e.label = b.label) SELECT conv_id, turn, vec_id, CAST(rank AS INT) AS rank FROM s JOIN r USING (label) WHERE NOT skip AND rank <= 3")
+E12 = Q + ", " + ASK + """, s AS (SELECT conv_id, turn, conv_id % 10 AS label, length(q) > 150 AS skip FROM ask), e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), b AS (SELECT label, min(vec_id) AS probe FROM e GROUP BY 1),
+r AS (SELECT b.label, e.vec_id, row_number() OVER (PARTITION BY b.label ORDER BY round(list_distance(p.v, e.v) ** 2, 4), e.vec_id) AS rank FROM b JOIN e p ON p.vec_id = b.probe JOIN e ON e.label = b.label)
+SELECT conv_id, turn, vec_id, CAST(rank AS INT) AS rank, CASE WHEN vec_id IS NULL THEN 'graph_only' ELSE 'hybrid' END AS mode FROM s LEFT JOIN r ON r.label = s.label AND NOT skip AND rank <= 3"""
+
+
+@query("e12_hybrid_retrieval", E12)
 def hybrid_retrieval(spark, sf):
+    """The nearest vectors of each question; questions of over 150 characters, and those without vectors, have one graph-only row."""
     from .text_queries import _l2
 
-    asked = _ask(spark, sf).where(F.length("q") <= 150).select("conv_id", "turn", (F.col("conv_id") % 10).cast("int").alias("label"))
+    label = F.when(F.length("q") <= 150, (F.col("conv_id") % 10).cast("int"))
+    asked = _ask(spark, sf).select("conv_id", "turn", label.alias("label"))
     e = table(spark, sf, "embeddings")
     probe = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("x"))
     near = e.join(probe, "label").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.round(_l2(F.col("x"), F.col("embedding")), 4), "vec_id"))).where("rank <= 3")
-    return asked.join(near, "label").select("conv_id", "turn", "vec_id", "rank")
+    return asked.join(near, "label", "left").select("conv_id", "turn", "vec_id", "rank", F.when(F.col("vec_id").isNull(), "graph_only").otherwise("hybrid").alias("mode"))
 
 
-@query("e12_hybrid_retrieval_all")
+@query("e12_hybrid_retrieval_all", E12)
 def hybrid_retrieval_all(spark, sf):
-    """e12 of every question: those without vectors have one graph-only row; held against brute force."""
-    found = hybrid_retrieval(spark, sf)
-    out = _ask(spark, sf).select("conv_id", "turn").join(found, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "vec_id", "rank", F.when(F.col("vec_id").isNull(), "graph_only").otherwise("hybrid").alias("mode"))
+    """The same under the name it had beside a query that left long questions out."""
+    return hybrid_retrieval(spark, sf)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import model as m
+from ..operators import stores
 from ..registry import query
 from ..sources.fixtures import STATUS_SQL, status_events, table
 
@@ -98,7 +99,8 @@ def version_bump(spark, sf):
 @query("s15_rank_bump", S + LATEST + f" SELECT paper_id, CAST(row_number() OVER (ORDER BY CASE WHEN paper_id IN (3, 5, 8) THEN TIMESTAMP '{NOW}' ELSE ts END DESC, paper_id) AS INT) AS rank FROM cur")
 def rank_bump(spark, sf):
     when = F.when(F.col("paper_id").isin(3, 5, 8), F.lit(NOW).cast("timestamp")).otherwise(F.col("ts").cast("timestamp"))
-    return _latest(status_events(spark, sf)).select("paper_id", F.row_number().over(Window.orderBy(when.desc(), "paper_id")).alias("rank"))
+    ranked = stores.ranked(_latest(status_events(spark, sf)).withColumn("at", when), F.date_trunc("hour", "at"), [F.col("at").desc(), F.col("paper_id")])
+    return ranked.select("paper_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("s17_warning_union", S + " SELECT paper_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(l), lambda w: list_position(l, w))), lambda i: l[i]), ',') AS warnings FROM (SELECT paper_id, list(status ORDER BY ts, event_id) AS l FROM st GROUP BY 1)")

@@ -45,3 +45,10 @@ def test_skeleton_counts_loops_twice_and_keeps_the_giant(spark):
     assert got(kept.select("id", "degree")) == [("b", 2), ("c", 3)] and got(left.select("id")) == [("2",), ("3",)]
     ids = spark.createDataFrame([(1, "c", "b")], "paper_id long, id string, root string")
     assert got(c.remapped(e, ids).select("id", "source", "target")) == [("1", "a", "b"), ("4", "d", "e")]
+
+
+def test_ranks_cross_buckets(spark):
+    d = spark.createDataFrame([(i, None if i == 7 else (i * 37 % 101)) for i in range(60)], "k int, v int")
+    got_ = {x["k"]: x["rank"] for x in s.ranked(d, F.floor(F.col("v") / 10), [F.col("v").desc(), F.col("k")]).collect()}
+    rows = sorted(((i * 37 % 101, i) for i in range(60) if i != 7), key=lambda t: (-t[0], t[1]))
+    assert got_ == {k: n + 1 for n, (_, k) in enumerate(rows)} | {7: 60} and s.ranked(d.limit(0), F.col("v"), [F.col("k")]).count() == 0
