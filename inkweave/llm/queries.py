@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .centroid_clusters import OP11_SQL, op11_centroid_clusters
 from .chat_format import op2_chat_format
+from .collocations import OP13_SQL, op13_collocations
 from .decontaminate import op5_decontaminate
 from .fingerprints import op6_document_fingerprints
 from .line_dedup import OP3_SQL, op3_line_dedup
@@ -10,6 +12,7 @@ from .mixing import OP9_SQL, op9_mix_sources
 from .prob_minhash import op7_near_duplicates
 from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .suffix_dedup import op8_suffix_dedup
+from .token_counts import op12_token_counts
 from .toxicity import op4_toxicity
 from .warc import OP10_SQL, op10_warc_transactions
 
@@ -32,6 +35,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_warc_transactions": op10_warc_transactions,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_token_counts": op12_token_counts,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
 
@@ -40,4 +46,6 @@ ORACLES = {
     "op3_line_dedup": OP3_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_warc_transactions": OP10_SQL,
+    "op11_centroid_clusters": OP11_SQL,
+    "op13_collocations": OP13_SQL,
 }
