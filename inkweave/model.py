@@ -42,3 +42,18 @@ HSS_KEYWORDS = (
 )
 MOCK_STEM_KEYWORDS = ("machine learning", "dataset", "baseline", "experiment", "gnn", "transformer", "crystal", "accuracy", "metrics", "neural network")
 MOCK_HSS_KEYWORDS = ("夏尔巴", "父系", "电影", "政治传播", "论点", "理论", "史料", "民族", "传播")
+
+#: Node types by rank as root of a merged cluster (lower wins), and what other types have.
+ROOT_PRIORITY = {
+    "Thesis": 0, "ResearchQuestion": 0, "Method": 1, "Claim": 2, "Experiment": 3, "SubArgument": 4, "AnalyticalLens": 5,
+    "IntellectualContext": 6, "Finding": 7, "Dataset": 8, "Metric": 9, "Baseline": 10, "Evidence": 11, "ObjectOrData": 12,
+}
+DEFAULT_ROOT_PRIORITY = 99
+#: Cosine over which nodes of one type merge, by paradigm and kind of node; other types count as Concept.
+MERGE_THRESHOLDS = {
+    "STEM": {"Method": 0.92, "Dataset": 0.82, "Metric": 0.88, "Baseline": 0.88, "Concept": 0.88},
+    "HSS": {"Method": 0.86, "Dataset": 0.80, "Concept": 0.82},
+}
+#: Cosine from which an isolated component is bridged, and the bridge's edge.
+BRIDGE_THRESHOLD = 0.75
+BRIDGE_TYPE, BRIDGE_LABEL = "SEMANTICALLY_RELATED_TO", "semantically_related"

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.chunks import chunk_documents, register
-from ..operators.components import components
 from ..registry import query
-from ..sources.fixtures import GRAPH_SQL, edges, nodes, table
+from ..sources.fixtures import table
 from ..streaming.stateful import admitted, breaker
 
 
@@ -25,13 +24,6 @@ def chunk_function(spark, sf):
     return spark.sql("SELECT d.doc_id, c.chunk_index, c.section, c.char_start, c.char_end FROM inkweave_documents d, LATERAL chunk_text(d.text) c")
 
 
-@query("g01_components", f"""WITH RECURSIVE {GRAPH_SQL}, e AS (SELECT paper_id, source AS a, target AS b FROM edges WHERE type = 'EVALUATED_ON'), n AS (SELECT paper_id, id FROM nodes WHERE type IN ('Method', 'Dataset')),
-u AS (SELECT paper_id, a, b FROM e UNION SELECT paper_id, b, a FROM e), r AS (SELECT paper_id, id, id AS root FROM n UNION SELECT r.paper_id, u.b, r.root FROM r JOIN u ON u.paper_id = r.paper_id AND u.a = r.id AND r.root < u.b)
-SELECT paper_id, id, min(root) AS root FROM r GROUP BY 1, 2""")
-def component_query(spark, sf):
-    return components(nodes(spark, sf).where("type in ('Method', 'Dataset')"), edges(spark, sf).where("type = 'EVALUATED_ON'"))
-
-
 @query("t10_token_bucket")
 def token_bucket(spark, sf):
     e = table(spark, sf, "events")

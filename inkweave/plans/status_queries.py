@@ -130,13 +130,6 @@ def bus_counts(spark, sf):
     return status_events(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("t04_index_watchdog", S + ", i AS (SELECT *, lead(ts) OVER (PARTITION BY paper_id ORDER BY ts, event_id) AS nxt FROM st) SELECT event_id, paper_id, date_diff('second', ts, nxt) > 300 AS stuck FROM i WHERE status = 'indexing' AND nxt IS NOT NULL")
-def index_watchdog(spark, sf):
-    nxt = F.lead("ts").over(Window.partitionBy("paper_id").orderBy("ts", "event_id"))
-    i = status_events(spark, sf).withColumn("nxt", nxt).where("status = 'indexing' and nxt is not null")
-    return i.select("event_id", "paper_id", (F.unix_timestamp("nxt") - F.unix_timestamp("ts") > 300).alias("stuck"))
-
-
 @query("t05_process_watchdog", S + LATEST + " SELECT paper_id, CASE WHEN status = 'processing' AND ts < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 900 SECOND THEN 'PROCESS_TIMEOUT' WHEN status = 'pending' AND ts < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 3600 SECOND THEN 'QUEUE_TIMEOUT' ELSE 'ok' END AS verdict FROM cur")
 def process_watchdog(spark, sf):
     old = lambda s: F.col("ts") < F.expr(f"timestamp'2024-01-30 00:00:00' - interval {s} seconds")

@@ -79,25 +79,6 @@ def union_find(spark, sf):
     return c.unions(pairs).select("paper_id", F.col("id").cast("long").cast("string").alias("id"), F.col("root").cast("long").cast("string").alias("root"))
 
 
-@query("g05_skeleton", G + """, n AS (SELECT * FROM nodes WHERE type IN ('ResearchQuestion', 'Claim')), e AS (SELECT * FROM edges WHERE type = 'ADDRESSES'), comp AS (SELECT paper_id, id, id AS hub FROM n WHERE type = 'ResearchQuestion' UNION ALL SELECT paper_id, source, target FROM e),
-sz AS (SELECT paper_id, hub, count(*) AS k, min(id) AS root FROM comp GROUP BY 1, 2), gi AS (SELECT paper_id, hub FROM sz QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY k DESC, root) = 1),
-d AS (SELECT paper_id, id, count(*) AS degree FROM (SELECT paper_id, source AS id FROM e UNION ALL SELECT paper_id, target FROM e) GROUP BY 1, 2)
-SELECT paper_id, id, coalesce(degree, 0) AS degree, row_number() OVER (PARTITION BY paper_id ORDER BY coalesce(degree, 0) DESC, id) AS rank FROM comp JOIN gi USING (paper_id, hub) LEFT JOIN d USING (paper_id, id) QUALIFY rank <= 10""")
-def skeleton(spark, sf):
-    """Questions and claims; 10 nodes, so that the limit takes effect."""
-    kept, _ = c.skeleton(nodes(spark, sf).where("type in ('ResearchQuestion', 'Claim')"), edges(spark, sf).where("type = 'ADDRESSES'"), 10)
-    return kept.select("paper_id", "id", "degree", "rank")
-
-
-@query("g07_island_bridges", """WITH v AS (SELECT CAST(label AS BIGINT) AS paper_id, CAST(vec_id AS VARCHAR) AS id, vec_id % 7 AS root, vec_id, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings), sz AS (SELECT paper_id, root, count(*) AS n, arg_max(id, id) AS rep FROM v GROUP BY 1, 2),
-mn AS (SELECT paper_id, root AS main FROM sz QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY n DESC, root) = 1), x AS (SELECT s.paper_id, a.id AS source, b.id AS target, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM sz s JOIN mn USING (paper_id) JOIN v a ON a.paper_id = s.paper_id AND a.id = s.rep JOIN v b ON b.paper_id = s.paper_id AND b.root = main WHERE s.root <> main)
-SELECT * FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY paper_id, source ORDER BY cosine DESC, target) = 1) WHERE cosine >= 0.3""".replace("x -> x::DOUBLE", "lambda x: x::DOUBLE"))
-def island_bridges(spark, sf):
-    """Vectors of one label are a graph of 7 components without degrees; threshold 0.3."""
-    e = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("paper_id"), F.col("vec_id").cast("string").alias("id"), (F.col("vec_id") % 7).alias("root"), F.lit(0).alias("degree"), F.col("embedding").alias("vector"))
-    return c.bridges(e, _cos, 0.3)
-
-
 @query("h35_cosine", "SELECT a.vec_id, round(list_cosine_similarity(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(b.embedding, lambda x: x::DOUBLE)), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine(spark, sf):
     e = table(spark, sf, "embeddings")

@@ -245,13 +245,6 @@ def cosine_matrix(spark, sf):
     return a.join(b, "label").where("a <> b").select("a", "b", F.round(_cos(F.col("x"), F.col("y")), 5).alias("cosine"))
 
 
-@query("j09_same_type_pairs", f"WITH e AS ({VEC}) SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.v, b.v) > 0.95")
-def same_type_pairs(spark, sf):
-    e = table(spark, sf, "embeddings")
-    a, b = (e.select(F.col("vec_id").alias(n), "label", F.col("embedding").alias(v)) for n, v in (("a", "x"), ("b", "y")))
-    return a.join(b, "label").where((F.col("a") < F.col("b")) & (_cos(F.col("x"), F.col("y")) > 0.95)).select("a", "b")
-
-
 @query("k01_vector_top_k", f"WITH e AS ({VEC}), q AS (SELECT * FROM e WHERE vec_id % 50 = 0) SELECT q.vec_id AS query_id, e.vec_id, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, e.v) ** 2, 4), e.vec_id) AS INT) AS rank FROM q JOIN e ON q.label = e.label QUALIFY rank <= 5")
 def vector_top_k(spark, sf):
     e = table(spark, sf, "embeddings")

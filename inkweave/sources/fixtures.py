@@ -6,7 +6,7 @@ brands datasets; edges follow the foreign keys of lineitem.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,8 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _items(spark: SparkSession, sf: str) -> DataFrame:
-    c, o, li = table(spark, sf, "customer"), table(spark, sf, "orders"), table(spark, sf, "lineitem")
+def _orders(spark: SparkSession, sf: str, status: str | None) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return o if status is None else o.where(F.col("o_orderstatus") == status)
+
+
+def _items(spark: SparkSession, sf: str, status: str | None = None) -> DataFrame:
+    c, o, li = table(spark, sf, "customer"), _orders(spark, sf, status), table(spark, sf, "lineitem")
     owned = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_custkey", "o_orderstatus", F.col("c_nationkey").cast("long").alias("paper_id"))
     return li.join(owned, li.l_orderkey == owned.o_orderkey).join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("paper_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "o_orderstatus", "p_name", "p_brand")
 
@@ -35,10 +40,10 @@ def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return customers.unionByName(claims).unionByName(met)
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    """paper_id, id, source, target, type, rationale."""
-    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
-    it = _items(spark, sf)
+def edges(spark: SparkSession, sf: str, status: str | None = None) -> DataFrame:
+    """paper_id, id, source, target, type, rationale; with a status, of the orders of that status only (graph G1f for 'F')."""
+    c, o = table(spark, sf, "customer"), _orders(spark, sf, status)
+    it = _items(spark, sf, status)
     k = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
     none = F.lit(None).cast("string").alias("rationale")
     edge = lambda name, target, kind: F.struct("paper_id", name.alias("id"), k("s", "l_suppkey").alias("source"), target.alias("target"), F.lit(kind).alias("type"), none)
@@ -70,14 +75,42 @@ it AS (
   UNION ALL SELECT DISTINCT paper_id, 'v' || l_suppkey || '_' || p_brand, 's' || l_suppkey, 'b' || p_brand, 'EVALUATED_ON', CAST(NULL AS VARCHAR) FROM it
 )"""
 
+#: G1f: the same nodes, edges of finished orders only.
+_NODES, _EDGES = GRAPH_SQL.split("), edges AS (")
+GRAPH_F_SQL = f"{_NODES}), fit AS (SELECT * FROM it WHERE o_orderstatus = 'F'), forders AS (SELECT * FROM orders WHERE o_orderstatus = 'F'), edges AS ({_EDGES.replace('FROM it', 'FROM fit').replace('FROM orders', 'FROM forders')}"
+
+
+#: Components of a vector that the node fixtures keep, so that some nodes are close to one another.
+VECTOR_DIMS = 8
+
+
+def vector_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """G1 nodes with description, source_span, confidence and v: customers, parts and suppliers have the vector of their key."""
+    n = nodes(spark, sf).withColumn("key", F.substring("id", 2, 20).try_cast("long"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.slice(F.col("embedding").cast("array<double>"), 1, VECTOR_DIMS).alias("v"))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("description"), F.col("p_type").alias("source_span"), (F.col("p_size") / 50).alias("confidence"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
+    out = n.join(e, (n.key == e.key) & n.type.isin("ResearchQuestion", "Evidence", "Method"), "left").drop(e.key)
+    out = out.join(p, (out.key == p.key) & (out.type == "Evidence"), "left").drop(p.key).join(c, (out.key == c.key) & (out.type == "ResearchQuestion"), "left")
+    return out.select("paper_id", "id", "label", "type", F.coalesce("description", "segment").alias("description"), "source_span", "confidence", "v")
+
+
+VECTOR_NODES_SQL = f"""
+vn AS (
+  SELECT paper_id, id, k.label, type, CASE type WHEN 'Evidence' THEN p_brand WHEN 'ResearchQuestion' THEN c_mktsegment END AS description, CASE type WHEN 'Evidence' THEN p_type END AS source_span,
+    CASE type WHEN 'Evidence' THEN p_size / 50 END AS confidence, CASE WHEN type IN ('ResearchQuestion', 'Evidence', 'Method') THEN list_transform(embedding[1:{VECTOR_DIMS}], lambda x: x::DOUBLE) END AS v
+  FROM (SELECT *, TRY_CAST(substring(id, 2) AS BIGINT) AS key FROM nodes) k LEFT JOIN embeddings ON vec_id = key LEFT JOIN part ON p_partkey = key LEFT JOIN customer ON c_custkey = key
+)"""
+
 
 def status_events(spark: SparkSession, sf: str) -> DataFrame:
     """event_id, paper_id, status, ts, value: the event stream read as status changes of papers."""
     e = table(spark, sf, "events")
-    return e.select("event_id", F.col("user_id").alias("paper_id"), _status(F.col("event_type")).alias("status"), "ts", "value")
+    return e.select("event_id", F.col("user_id").alias("paper_id"), status_of(F.col("event_type")).alias("status"), "ts", "value")
 
 
-def _status(kind):
+def status_of(kind: Column) -> Column:
+    """The status that an event type stands for."""
     out = F.lit("failed")
     for name, status in (("signup", "pending"), ("view", "processing"), ("click", "indexing"), ("purchase", "ready")):
         out = F.when(kind == name, status).otherwise(out)

@@ -35,31 +35,6 @@ def newest_generation(writes: DataFrame) -> DataFrame:
     return writes.select("key", "generation", "value").groupBy("key").applyInPandasWithState(keep, "key long, generation long, value double", "seen long", "append", "NoTimeout")
 
 
-def sanitised(deltas: DataFrame) -> DataFrame:
-    """Answer deltas (answer_id, seq, text) without backticks and runs of stars; a run may span deltas."""
-
-    def clean(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values("seq").itertuples(index=False):
-                text = held + r.text.replace("`", "")
-                cut = len(text.rstrip("*"))
-                held = "*" if len(text) - cut == 1 else ""
-                out, i = [], 0
-                while i < cut:
-                    j = i
-                    while j < cut and text[j] == "*":
-                        j += 1
-                    out.append("*" if j - i == 1 else "" if j > i else text[i])
-                    i = max(j, i + 1)
-                rows.append((key[0], r.seq, "".join(out)))
-            yield pd.DataFrame(rows, columns=["answer_id", "seq", "text"])
-        state.update((held,))
-
-    return deltas.groupBy("answer_id").applyInPandasWithState(clean, "answer_id long, seq long, text string", "held string", "append", "NoTimeout")
-
-
 def admitted(requests: DataFrame, per_minute: float = 60.0, burst: float = 10.0) -> DataFrame:
     """T10, token bucket per key: requests (key, ts, tokens) with admitted; tokens refill linearly up to `burst`."""
 

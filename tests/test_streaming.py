@@ -29,12 +29,6 @@ def test_generations(spark, tmp_path):
     assert sorted(r["value"] for r in got) == [1.0, 2.0, 4.0, 5.0]
 
 
-def test_sanitised(spark, tmp_path):
-    rows = [(1, 0, "a **bold"), (1, 1, "** `x` 2*3"), (1, 2, " end")]
-    got = drained(spark, "sanitised", rows, "answer_id long, seq long, text string", tmp_path, st.sanitised)
-    assert "".join(r["text"] for r in sorted(got, key=lambda r: r["seq"])) == "a bold x 2*3 end"
-
-
 def test_token_bucket_and_breaker(spark):
     at = datetime(2024, 1, 1)
     req = spark.createDataFrame([(1, at + timedelta(seconds=s), 6.0) for s in (0, 1, 3, 10)], "key long, ts timestamp, tokens double")
