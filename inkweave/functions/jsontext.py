@@ -7,11 +7,11 @@ block ends where the depth of the opening kind is back at 0.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let, record
+
 _TOKENS = r"""\\[\s\S]?|["{}\[\]]|[^"\\{}\[\]]+"""
 _FENCED = r"(?is)^```(?:json)?\s*(.*?)```\s*$"
 
@@ -26,15 +26,6 @@ def unfenced(raw: Column) -> Column:
     return F.when(text.rlike(_FENCED), _stripped(F.regexp_extract(text, _FENCED, 1))).otherwise(text)
 
 
-def _state(**fields: Column) -> Column:
-    return F.struct(*[c.alias(n) for n, c in fields.items()])
-
-
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def json_block(raw: Column) -> Column:
     """The first balanced object or array; the rest of the text if it never ends; the whole text if it opens with a bracket
     or has none. Null for null."""
@@ -45,18 +36,18 @@ def json_block(raw: Column) -> Column:
             depth = s["depth"] + F.when(live & (token == b["opens"]), 1).when(live & (token == b["closes"]), -1).otherwise(0)
             place = s["place"] + F.length(token)
             ends = (s["end"] == 0) & live & (token == b["closes"]) & (depth == 0)
-            return _state(depth=depth, inside=F.when(token == '"', live).otherwise(s["inside"]), place=place, end=F.when(ends, place).otherwise(s["end"]))
+            return record(depth=depth, inside=F.when(token == '"', live).otherwise(s["inside"]), place=place, end=F.when(ends, place).otherwise(s["end"]))
 
-        end = F.aggregate(F.regexp_extract_all(b["tail"], F.lit(_TOKENS), F.lit(0)), _state(depth=F.lit(0), inside=F.lit(False), place=F.lit(0), end=F.lit(0)), step, lambda s: s["end"])
-        return _let(end, lambda e: F.when(e > 0, F.substring(b["tail"], F.lit(1), e)).otherwise(b["tail"]))
+        end = F.aggregate(F.regexp_extract_all(b["tail"], F.lit(_TOKENS), F.lit(0)), record(depth=F.lit(0), inside=F.lit(False), place=F.lit(0), end=F.lit(0)), step, lambda s: s["end"])
+        return let(end, lambda e: F.when(e > 0, F.substring(b["tail"], F.lit(1), e)).otherwise(b["tail"]))
 
     def found(t: Column) -> Column:
         # instr counts code points as substring does; 0 is none
         at = F.coalesce(F.least(*[F.nullif(F.instr(t, c), F.lit(0)) for c in "[{"]), F.lit(0))
-        parts = lambda tail: _state(tail=tail, opens=F.left(tail, F.lit(1)), closes=F.when(F.left(tail, F.lit(1)) == "{", "}").otherwise("]"))
-        return F.when(at <= 1, t).otherwise(_let(_let(F.substring(t, at, F.length(t)), parts), block))
+        parts = lambda tail: record(tail=tail, opens=F.left(tail, F.lit(1)), closes=F.when(F.left(tail, F.lit(1)) == "{", "}").otherwise("]"))
+        return F.when(at <= 1, t).otherwise(let(let(F.substring(t, at, F.length(t)), parts), block))
 
-    return _let(unfenced(raw), found)
+    return let(unfenced(raw), found)
 
 
 def closed(block: Column) -> Column:
@@ -67,12 +58,12 @@ def closed(block: Column) -> Column:
         opener = F.when(token == "{", "}").when(token == "[", "]")
         pops = live & (token != "") & (token == F.left(s["open"], F.lit(1)))
         stack = F.when(live & opener.isNotNull(), F.concat(opener, s["open"])).when(pops, F.substring(s["open"], F.lit(2), F.length(s["open"]))).otherwise(s["open"])
-        return _state(inside=F.when(token == '"', live).otherwise(s["inside"]), open=stack)
+        return record(inside=F.when(token == '"', live).otherwise(s["inside"]), open=stack)
 
-    left = F.aggregate(F.regexp_extract_all(block, F.lit(_TOKENS), F.lit(0)), _state(inside=F.lit(False), open=F.lit("")), step)
+    left = F.aggregate(F.regexp_extract_all(block, F.lit(_TOKENS), F.lit(0)), record(inside=F.lit(False), open=F.lit("")), step)
     cut = F.regexp_replace(block, r"\\$", "")
     done = F.regexp_replace(F.regexp_replace(block, r"[\s,]+$", ""), r":$", ":null")
-    return _let(left, lambda s: F.concat(F.when(s["inside"], F.concat(cut, F.lit('"'))).otherwise(done), s["open"]))
+    return let(left, lambda s: F.concat(F.when(s["inside"], F.concat(cut, F.lit('"'))).otherwise(done), s["open"]))
 
 
 def json_repaired(raw: Column) -> Column:
@@ -87,5 +78,5 @@ def json_repaired(raw: Column) -> Column:
         return out
 
     last = lambda p: F.when(fine(p), p)
-    second = lambda shut: F.when(fine(shut), shut).otherwise(_let(plain(shut), last))
-    return _let(json_block(raw), lambda b: F.when(fine(b), b).otherwise(_let(closed(b), second)))
+    second = lambda shut: F.when(fine(shut), shut).otherwise(let(plain(shut), last))
+    return let(json_block(raw), lambda b: F.when(fine(b), b).otherwise(let(closed(b), second)))

@@ -57,3 +57,15 @@ MERGE_THRESHOLDS = {
 #: Cosine from which an isolated component is bridged, and the bridge's edge.
 BRIDGE_THRESHOLD = 0.75
 BRIDGE_TYPE, BRIDGE_LABEL = "SEMANTICALLY_RELATED_TO", "semantically_related"
+
+#: Titles at which extraction chunks begin, by paradigm.
+SECTION_TITLES = {
+    "STEM": ["Abstract", "Introduction", "Related Work", "Background", "Preliminaries", "Methodology", "Methods", "Model", "Architecture", "Experiments", "Experimental Setup", "Results", "Evaluation", "Discussion", "Ablation Study", "Conclusion", "Conclusions", "References", "Acknowledgements", "Appendix"],
+    "HSS": ["Abstract", "Introduction", "Literature Review", "Theoretical Framework", "Conceptual Framework", "Methodology", "Methods", "Data", "Analysis", "Findings", "Discussion", "Implications", "Conclusion", "Conclusions", "References", "Acknowledgements", "Appendix"],
+}
+
+#: What an empty section of a prompt reads, and the mark of a cut one.
+EMPTY_ENTITIES = "（暂无向量召回实体，请依据上方图谱节点作答）"
+EMPTY_RELATIONS = "（暂无向量召回关系）"
+EMPTY_CHUNKS = "（暂无原文片段 — 论文向量索引尚未就绪或无匹配结果，请依据图谱节点与关系作答）"
+CONTEXT_CUT = "…（检索上下文已截断，请优先依据上文与图谱节点作答）"

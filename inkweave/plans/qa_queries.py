@@ -142,13 +142,6 @@ def head_quality(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sum((x.cast("int") for x in tests), F.lit(0)).alias("score"))
 
 
-@query("k07_prompt_budget", Q + ", x AS (SELECT *, sum(length(question) + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM qa) SELECT conv_id, count(*) FILTER (WHERE upto <= 600) AS n_kept, count(*) FILTER (WHERE upto > 600) > 0 AS trimmed FROM x GROUP BY 1")
-def prompt_budget(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    x = turns(spark, sf).withColumn("upto", F.sum(F.length("question") + 1).over(w))
-    return x.groupBy("conv_id").agg(F.count(F.when(F.col("upto") <= 600, 1)).alias("n_kept"), (F.count(F.when(F.col("upto") > 600, 1)) > 0).alias("trimmed"))
-
-
 @query("k08_text_caps", Q + " SELECT conv_id, turn, '- ' || substr(question, 1, 200) AS relation, substr(answer, 1, 300) || ' (p.' || turn || ')' AS chunk FROM qa")
 def text_caps(spark, sf):
     return turns(spark, sf).select("conv_id", "turn", F.concat(F.lit("- "), F.substring("question", 1, 200)).alias("relation"), F.concat(F.substring("answer", 1, 300), F.lit(" (p."), F.col("turn").cast("string"), F.lit(")")).alias("chunk"))
