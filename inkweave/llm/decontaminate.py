@@ -136,9 +136,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that leak an item."""
-    bad = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    """docs without those that leak an item; columns stay, whatever their names."""
+    bad = leaks(docs, benchmark, **how).select(F.col("doc_id").alias("bad")).distinct()
+    return docs.select(F.struct("*").alias("kept")).join(bad, F.col("kept.doc_id").cast("long").eqNullSafe(F.col("bad")), "left_anti").select("kept.*")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

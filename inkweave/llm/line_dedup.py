@@ -243,8 +243,9 @@ def _kept_text() -> Column:
 
 
 def cut_lines(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:
-    """docs with removed lines cut out of text; all documents and columns stay."""
-    return _with_gone(docs, threshold, folder).select(*[_kept_text().alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """docs with removed lines cut out of text; all documents and columns stay, whatever their names."""
+    shut = docs.select("doc_id", "text", F.struct("*").alias("kept"))
+    return _with_gone(shut, threshold, folder).select(*[_kept_text().alias("text") if c == "text" else F.col("kept").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_lines(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None = None) -> DataFrame:

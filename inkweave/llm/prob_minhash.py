@@ -21,6 +21,7 @@ class_id null; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -207,11 +208,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs without the documents whose class has a smaller doc_id; of rows that repeat a doc_id one stays."""
+    """docs without the documents whose class has a smaller doc_id; of rows that repeat a doc_id the one with the smallest text
+    stays, then the smallest other columns. Columns stay, whatever their names and types."""
     classes = near_duplicates(docs, **how).where("doc_id = class_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    kept = docs.join(classes, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    field = F.col("kept").getField
+    plain = lambda f: not re.search(r"map<|variant", f.dataType.simpleString())
+    others = [field(f.name) if plain(f) else F.to_json(F.struct(field(f.name))) for f in docs.schema if f.name not in ("doc_id", "text")]
+    order = Window.partitionBy("doc_id").orderBy(F.coalesce(field("text").cast("string"), F.lit("")), *others)
+    shut = docs.select("doc_id", F.struct("*").alias("kept"))
+    kept = shut.join(classes, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    return kept.select("kept.*").unionByName(docs.where("doc_id is null"))
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
