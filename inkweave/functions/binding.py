@@ -1,17 +1,10 @@
-"""Values that an expression needs several times, worked out once."""
+"""Structs as states of folds."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value worked out once a row."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def record(**fields: Column) -> Column:
     return F.struct(*[c.alias(n) for n, c in fields.items()])

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import let, record
+from .binding import record
+from .text import once
 
 _TOKENS = r"""\\[\s\S]?|["{}\[\]]|[^"\\{}\[\]]+"""
 _FENCED = r"(?is)^```(?:json)?\s*(.*?)```\s*$"
@@ -39,15 +40,15 @@ def json_block(raw: Column) -> Column:
             return record(depth=depth, inside=F.when(token == '"', live).otherwise(s["inside"]), place=place, end=F.when(ends, place).otherwise(s["end"]))
 
         end = F.aggregate(F.regexp_extract_all(b["tail"], F.lit(_TOKENS), F.lit(0)), record(depth=F.lit(0), inside=F.lit(False), place=F.lit(0), end=F.lit(0)), step, lambda s: s["end"])
-        return let(end, lambda e: F.when(e > 0, F.substring(b["tail"], F.lit(1), e)).otherwise(b["tail"]))
+        return once(end, lambda e: F.when(e > 0, F.substring(b["tail"], F.lit(1), e)).otherwise(b["tail"]))
 
     def found(t: Column) -> Column:
         # instr counts code points as substring does; 0 is none
         at = F.coalesce(F.least(*[F.nullif(F.instr(t, c), F.lit(0)) for c in "[{"]), F.lit(0))
         parts = lambda tail: record(tail=tail, opens=F.left(tail, F.lit(1)), closes=F.when(F.left(tail, F.lit(1)) == "{", "}").otherwise("]"))
-        return F.when(at <= 1, t).otherwise(let(let(F.substring(t, at, F.length(t)), parts), block))
+        return F.when(at <= 1, t).otherwise(once(once(F.substring(t, at, F.length(t)), parts), block))
 
-    return let(unfenced(raw), found)
+    return once(unfenced(raw), found)
 
 
 def closed(block: Column) -> Column:
@@ -63,7 +64,7 @@ def closed(block: Column) -> Column:
     left = F.aggregate(F.regexp_extract_all(block, F.lit(_TOKENS), F.lit(0)), record(inside=F.lit(False), open=F.lit("")), step)
     cut = F.regexp_replace(block, r"\\$", "")
     done = F.regexp_replace(F.regexp_replace(block, r"[\s,]+$", ""), r":$", ":null")
-    return let(left, lambda s: F.concat(F.when(s["inside"], F.concat(cut, F.lit('"'))).otherwise(done), s["open"]))
+    return once(left, lambda s: F.concat(F.when(s["inside"], F.concat(cut, F.lit('"'))).otherwise(done), s["open"]))
 
 
 def json_repaired(raw: Column) -> Column:
@@ -78,5 +79,5 @@ def json_repaired(raw: Column) -> Column:
         return out
 
     last = lambda p: F.when(fine(p), p)
-    second = lambda shut: F.when(fine(shut), shut).otherwise(let(plain(shut), last))
-    return let(json_block(raw), lambda b: F.when(fine(b), b).otherwise(let(closed(b), second)))
+    second = lambda shut: F.when(fine(shut), shut).otherwise(once(plain(shut), last))
+    return once(json_block(raw), lambda b: F.when(fine(b), b).otherwise(once(closed(b), second)))

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import model as m
-from .binding import let, record
+from .binding import record
+from .text import once
 
 
 def section(lines: Column, empty: str) -> Column:
@@ -18,7 +19,7 @@ def fitting(text: Column, most: Column) -> Column:
     """As many whole lines from the start as fit into `most` characters; of a first line that is longer, its beginning."""
     cut = lambda start: F.length(start) - F.length(F.substring_index(start, "\n", -1)) - 1
     keep = lambda start: F.when(F.contains(start, F.lit("\n")), cut(start)).otherwise(F.greatest(most, F.lit(0)))
-    short = let(F.substring(text, F.lit(1), F.greatest(most, F.lit(-1)) + 1), lambda start: F.substring(text, F.lit(1), keep(start)))
+    short = once(F.substring(text, F.lit(1), F.greatest(most, F.lit(-1)) + 1), lambda start: F.substring(text, F.lit(1), keep(start)))
     return F.when(F.length(text) <= most, text).otherwise(short)
 
 
@@ -38,8 +39,8 @@ def budgeted(entities: Column, relations: Column, chunks: Column, most: int) ->
 
     def cut(s: Column) -> Column:
         e, r = s["entities"], s["relations"]
-        third = lambda c, r: let(fitting(e, room - _size(r, c)), lambda e: record(entities=_marked(e, r, c), relations=_marked(r, c), chunks=_marked(c)))
-        second = lambda c: let(fitting(r, room - _size(e, c)), lambda r: third(c, r))
-        return F.when(_size(e, r, s["chunks"]) <= most, s).otherwise(let(fitting(s["chunks"], room - _size(e, r)), second))
+        third = lambda c, r: once(fitting(e, room - _size(r, c)), lambda e: record(entities=_marked(e, r, c), relations=_marked(r, c), chunks=_marked(c)))
+        second = lambda c: once(fitting(r, room - _size(e, c)), lambda r: third(c, r))
+        return F.when(_size(e, r, s["chunks"]) <= most, s).otherwise(once(fitting(s["chunks"], room - _size(e, r)), second))
 
-    return let(record(entities=entities, relations=relations, chunks=chunks), cut)
+    return once(record(entities=entities, relations=relations, chunks=chunks), cut)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import model as m
+from ..functions import heads
 from ..functions.jsontext import json_block, json_repaired
 from ..functions.prompts import budgeted, section
 from ..operators.extraction_chunks import chunked
@@ -67,3 +68,31 @@ def static_ranking(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'user'").select(F.struct("conv_id", "turn").alias("question_id"), F.col("conv_id").alias("paper_id"), "text")
     lines = table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
     return ranked(c, lines, 5).select("question_id.conv_id", "question_id.turn", F.col("rank").cast("long").alias("rank"), F.col("chunk_index").cast("long").alias("chunk_index"), "score")
+
+
+def _papers(spark, sf):
+    """Documents, and pages as plain text with their title as first line."""
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", ""), r"(?is)</?(?:p|h\d|li|title|div|br|article|nav)\b[^>]*>", "\n")
+    pages = table(spark, sf, "pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.regexp_replace(plain, "<[^>]*>", "").alias("text"))
+    return table(spark, sf, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text").unionByName(pages)
+
+
+@query("h06_titles")
+def titles(spark, sf):
+    return _papers(spark, sf).select("source", "id", heads.paper_title(F.col("text")).alias("title"))
+
+
+@query("h07_sections")
+def section_query(spark, sf):
+    """Title, abstract, keywords and introduction of every document and page."""
+    return _papers(spark, sf).withColumn("s", heads.sections(F.col("text"))).select("source", "id", "s.title", F.md5("s.abstract").alias("abstract"), "s.keywords", F.md5("s.intro").alias("intro"))
+
+
+@query("h08_conclusions")
+def conclusions(spark, sf):
+    return _papers(spark, sf).select("source", "id", heads.conclusion(F.col("text")).alias("conclusion"))
+
+
+@query("h09_meta_lines")
+def meta_lines(spark, sf):
+    return _papers(spark, sf).select("source", "id", heads.meta(F.col("text")).alias("m")).select("source", "id", "m.*")
