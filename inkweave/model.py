@@ -70,11 +70,16 @@ EMPTY_RELATIONS = "（暂无向量召回关系）"
 EMPTY_CHUNKS = "（暂无原文片段 — 论文向量索引尚未就绪或无匹配结果，请依据图谱节点与关系作答）"
 CONTEXT_CUT = "…（检索上下文已截断，请优先依据上文与图谱节点作答）"
 
-#: Cosine from which two papers' questions are aligned without a reranker.
-QUESTION_STRICT = 0.75
+#: Cosine from which two papers' questions are alike, and where one of them is mostly English.
+QUESTION_SIMILAR, QUESTION_SIMILAR_ENGLISH = 0.75, 0.55
+#: An ASCII word, and the share of letters and digits over which such words make a label English.
+ASCII_WORD, MOSTLY_ENGLISH = "[a-zA-Z]+", 0.5
 #: Summaries of claim evolution where no model writes them.
 SAME_QUESTION = "两篇论文围绕同一问题「%s」展开，建议进一步比对其结论、证据与实验设计差异。"
 NEAR_QUESTIONS = "两篇论文分别关注「%s」与「%s」，研究问题存在相似性，建议对照结论与证据链进一步研判。"
 BOTH_CLAIMS = "论文 A 的结论为「%s」，论文 B 的结论为「%s」，两者围绕相似问题给出了判断，建议结合证据链分析差异来源。"
 ONLY_CLAIM_A = "论文 A 的结论为「%s」，论文 B 未检出明确结论。"
 ONLY_CLAIM_B = "论文 B 的结论为「%s」，论文 A 未检出明确结论。"
+
+#: Cosine from which methods are alike.
+METHOD_SIMILAR = 0.88

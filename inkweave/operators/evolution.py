@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import model as m
 from .graph import degrees
-from .similar import cosine_join
+from .similar import cosine_join, question_threshold
 
 
 def primary_claims(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -23,13 +23,15 @@ def primary_claims(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.groupBy("paper_id").agg(F.min_by("label", order).alias("claim"))
 
 
-def aligned(pairs: DataFrame, questions: DataFrame, dims: int, strict: float = m.QUESTION_STRICT) -> DataFrame:
-    """paper_a, paper_b, a, b (ids and labels as structs, with the vector): the most similar questions of each pair, if their
-    cosine is at least `strict`; ties by ids."""
-    side = questions.select(F.lit(0).alias("all"), F.struct("paper_id", "id", "label", "v").alias("q"), "v", F.lit(strict - 1e-9).alias("t"))
-    met = cosine_join(side.withColumnRenamed("q", "a"), side.withColumnRenamed("q", "b"), ["all"], dims).where(F.col("cosine") >= strict)
+def aligned(pairs: DataFrame, questions: DataFrame, dims: int) -> DataFrame:
+    """paper_a, paper_b, a, b (ids and labels as structs, with the vector): the most similar questions of each pair (ties by ids), if
+    their cosine reaches the threshold of their labels."""
+    least = min(m.QUESTION_SIMILAR, m.QUESTION_SIMILAR_ENGLISH)
+    side = questions.select(F.lit(0).alias("all"), F.struct("paper_id", "id", "label", "v").alias("q"), "v", F.lit(least - 1e-9).alias("t"))
+    met = cosine_join(side.withColumnRenamed("q", "a"), side.withColumnRenamed("q", "b"), ["all"], dims).where(F.col("cosine") >= least)
     met = met.select(F.col("a.paper_id").alias("paper_a"), F.col("b.paper_id").alias("paper_b"), "a", "b", "cosine").join(pairs, ["paper_a", "paper_b"], "left_semi")
-    return met.groupBy("paper_a", "paper_b").agg(F.min_by(F.struct("a", "b"), F.struct(-F.col("cosine"), "a.id", "b.id")).alias("m")).select("paper_a", "paper_b", "m.a", "m.b")
+    best = met.groupBy("paper_a", "paper_b").agg(F.min_by(F.struct("a", "b", "cosine"), F.struct(-F.col("cosine"), "a.id", "b.id")).alias("m"))
+    return best.where(F.col("m.cosine") >= question_threshold(F.col("m.a.label"), F.col("m.b.label"))).select("paper_a", "paper_b", "m.a", "m.b")
 
 
 def nearest_chunks(asked: DataFrame, chunks: DataFrame, top_k: int) -> DataFrame:
