@@ -121,7 +121,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: fl
     def found_by(bits: Column, way: int) -> Column:
         """(hash, i, size) of the windows of each size that pass the bitmap."""
         here = lambda per, n: F.transform(_hashes(per, n), lambda h, i: F.when(hit(bits, h), F.struct(h.alias("hash"), i.alias("i"), F.lit(n).alias("size"))))
-        return _once(_token_hashes(F.col("toks"), way), lambda per: F.array_compact(F.concat(*[here(per, n) for n in sizes])))
+        out = _once(_token_hashes(F.col("toks"), way), lambda per: F.array_compact(F.concat(*[here(per, n) for n in sizes])))
+        # a text without openers or names has the same hashes as in the way before
+        mark = {OPENING: FIRST, PLAIN: NAME}.get(way)
+        return out if mark is None else F.when(F.exists("toks", lambda w: w.startswith(mark)), out).otherwise(F.array().cast("array<struct<hash:bigint,i:int,size:int>>"))
 
     places = _once(bitmap, lambda bits: F.array_distinct(F.concat(*[found_by(bits, way) for way in WAYS])))
     found = base.withColumn("p", F.explode(places)).select("doc_id", "row", "p.*", F.slice("toks", F.col("p.i") + 1, F.col("p.size")).alias("doc_tokens"))
