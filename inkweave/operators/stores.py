@@ -61,12 +61,18 @@ def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataF
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def envelope(rows: DataFrame, item: Column, total: DataFrame, offset: int, limit: int) -> DataFrame:
-    """One row, JSON of {data: {items, total, offset, limit}}; items are those of a page."""
+def success(data: Column, request_id: Column) -> Column:
+    """JSON of {data, meta: {request_id}}; nulls in data are left out, a null request_id leaves meta empty."""
+    return F.to_json(F.struct(data.alias("data"), F.struct(request_id.alias("request_id")).alias("meta")))
+
+
+def envelope(rows: DataFrame, item: Column, total: DataFrame, offset: int, limit: int, request_id: str | None = None) -> DataFrame:
+    """One row, JSON of {data: {items, total, offset, limit}}, with a request_id also {meta: {request_id}}; items are those of a page."""
     items = rows.agg(F.sort_array(F.collect_list(item)).alias("items"))
     counted = total.agg(F.count("*").alias("total"))
     body = F.struct("items", "total", F.lit(offset).alias("offset"), F.lit(limit).alias("limit"))
-    return items.withColumn("k", F.lit(1)).join(counted.withColumn("k", F.lit(1)), "k").select(F.to_json(F.struct(body.alias("data"))).alias("body"))
+    whole = F.to_json(F.struct(body.alias("data"))) if request_id is None else success(body, F.lit(request_id))
+    return items.withColumn("k", F.lit(1)).join(counted.withColumn("k", F.lit(1)), "k").select(whole.alias("body"))
 
 
 def clean_metadata(fields: Column) -> Column:

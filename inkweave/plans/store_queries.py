@@ -168,6 +168,13 @@ def page_envelope(spark, sf):
     return s.envelope(s.page(r, [F.col("r_regionkey")], 1, 3), F.struct(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), r, 1, 3)
 
 
+@query("s34_envelopes", """SELECT event_id, '{"data":{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"},"meta":{"request_id":"' || md5(CAST(event_id AS VARCHAR)) || '"}}' AS body FROM events""")
+def envelopes(spark, sf):
+    """The answer to a request for each event."""
+    e = table(spark, sf, "events")
+    return e.select("event_id", s.success(F.struct("event_id", "user_id", "event_type"), F.md5(F.col("event_id").cast("string"))).alias("body"))
+
+
 @query("s42_prefer_text", "SELECT CAST(doc_id AS VARCHAR) AS stem, '/corpus/' || lang || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.pdf' END AS path FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0")
 def prefer_text(spark, sf):
     """Files of a corpus by name: text for every third document, PDF for every second, a picture for all."""

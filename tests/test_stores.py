@@ -1,5 +1,7 @@
 """Store and cluster operators on small tables: nulls, ties, repeated keys, loops."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from inkweave.operators import clusters as c
@@ -52,3 +54,13 @@ def test_ranks_cross_buckets(spark):
     got_ = {x["k"]: x["rank"] for x in s.ranked(d, F.floor(F.col("v") / 10), [F.col("v").desc(), F.col("k")]).collect()}
     rows = sorted(((i * 37 % 101, i) for i in range(60) if i != 7), key=lambda t: (-t[0], t[1]))
     assert got_ == {k: n + 1 for n, (_, k) in enumerate(rows)} | {7: 60} and s.ranked(d.limit(0), F.col("v"), [F.col("k")]).count() == 0
+
+
+def test_envelopes_carry_the_request_id(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, 'c"d')], "id long, name string")
+    page = s.page(rows, [F.col("id")], 1, 2)
+    body = json.loads(s.envelope(page, F.struct("id", "name"), rows, 1, 2, "r-1").first()["body"])
+    assert body == {"data": {"items": [{"id": 2}, {"id": 3, "name": 'c"d'}], "total": 3, "offset": 1, "limit": 2}, "meta": {"request_id": "r-1"}}
+    assert "meta" not in json.loads(s.envelope(page, F.struct("id"), rows, 1, 2).first()["body"])
+    one = rows.select(s.success(F.struct("id"), F.concat(F.lit("r"), F.col("name"))).alias("body")).collect()
+    assert [json.loads(r["body"]) for r in one] == [{"data": {"id": 1}, "meta": {"request_id": "ra"}}, {"data": {"id": 2}, "meta": {}}, {"data": {"id": 3}, "meta": {"request_id": 'rc"d'}}]
