@@ -94,8 +94,21 @@ def anchor_refs(pairs: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
     return both.join(named, ["paper_id", "norm"]).groupBy("paper_a", "paper_b", "paper_id", "node_id").agg(F.min("side").alias("side"))
 
 
+#: Fixed patterns: a citation of a chunk inside a text, and an older form of ids.
+CITED_CHUNK, OLDER_ID = r"(?i)\[cite\s*:\s*chunk\s*:\s*([^\]]+)\]", r"^([\w-]+)_chunk_(\d+)$"
+
+
+def chunk_citation(raw: Column) -> Column:
+    """The chunk id that a raw citation means: without outer blanks and brackets, taken out of a citation in a longer
+    text, no blanks around colons, older ids (p_chunk_3) as p:chunk:3. Null stays null, blank gives ''."""
+    bare = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"^[\[\]]+|[\[\]]+$", "")
+    inside = F.regexp_extract(bare, CITED_CHUNK, 1)
+    bare = F.regexp_replace(F.when(inside != "", inside).otherwise(bare), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"\s*:\s*", ":"), OLDER_ID, "$1:chunk:$2")
+
+
 def resolved_chunks(cited: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Cited (key, cited) with chunk_id of the key's chunks (key, chunk_id): equal, else the only one that ends in ':' and the citation, else the only one with its last segment, else null.
+    """Cited (key, cited) with chunk_id of the key's chunks (key, chunk_id), by chunk_citation() of what is cited: equal, else the only one that ends in ':' and the citation, else the only one with its last segment, else null.
 
     A chunk is listed under each of its tails ("a:b:c", "b:c", "c"), so all three are equi-joins.
     """
@@ -103,11 +116,11 @@ def resolved_chunks(cited: DataFrame, chunks: DataFrame) -> DataFrame:
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ":"))
     listed = chunks.distinct().select("key", "chunk_id", F.explode(tails).alias("tail"))
     only = listed.groupBy("key", "tail").agg(F.max(F.when(F.col("tail") == F.col("chunk_id"), F.col("chunk_id"))).alias("same"), F.count(F.when(F.col("tail") != F.col("chunk_id"), 1)).alias("n"), F.max(F.when(F.col("tail") != F.col("chunk_id"), F.col("chunk_id"))).alias("end"), F.count("*").alias("n_last"), F.max("chunk_id").alias("last"))
-    first = only.select("key", F.col("tail").alias("cited"), "same", F.when(F.col("n") == 1, F.col("end")).alias("end"))
+    first = only.select("key", F.col("tail").alias("meant"), "same", F.when(F.col("n") == 1, F.col("end")).alias("end"))
     # the last segment "c" is a tail of exactly the chunks that have it as their last segment
     last = only.where(~F.col("tail").contains(":")).select("key", F.col("tail").alias("segment"), F.when(F.col("n_last") == 1, F.col("last")).alias("last"))
-    out = cited.join(first, ["key", "cited"], "left").withColumn("segment", F.element_at(F.split("cited", ":"), -1)).join(last, ["key", "segment"], "left")
-    return out.withColumn("chunk_id", F.when(F.trim("cited") != "", F.coalesce("same", "end", "last"))).drop("segment", "same", "end", "last")
+    out = cited.withColumn("meant", chunk_citation(F.col("cited"))).join(first, ["key", "meant"], "left").withColumn("segment", F.element_at(F.split("meant", ":"), -1)).join(last, ["key", "segment"], "left")
+    return out.withColumn("chunk_id", F.when(F.col("meant") != "", F.coalesce("same", "end", "last"))).drop("meant", "segment", "same", "end", "last")
 
 
 def shortlist(candidates: DataFrame, pair: list[str], coarse: float = 0.42, most: int = 8) -> DataFrame:

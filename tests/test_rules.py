@@ -88,3 +88,10 @@ def test_unknown_status_is_an_error(spark):
     assert got(r.paper_summary(rows)) == [("ready", None, [])]
     with pytest.raises(Exception, match="unknown status"):
         r.paper_summary(rows.withColumn("status", F.lit("gone"))).collect()
+
+
+def test_citations_are_read_before_they_are_resolved(spark):
+    chunks = spark.createDataFrame([("k", "p1:chunk:1"), ("k", "p1:chunk:2"), ("k", "p2:run:chunk:7")], "key string, chunk_id string")
+    want = {"[p1 : chunk : 1]": "p1:chunk:1", "p1_chunk_2": "p1:chunk:2", " see [CITE: chunk : p1:chunk: 2 ] there": "p1:chunk:2", "chunk : 7": "p2:run:chunk:7", "[[ ]]": None, "[]": None, "": None, "p9:chunk:3": None}
+    cited = spark.createDataFrame([("k", x) for x in want] + [("k", None)], "key string, cited string")
+    assert {x["cited"]: x["chunk_id"] for x in r.resolved_chunks(cited, chunks).collect()} == want | {None: None}
