@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import workspace
+from .common import materialise, workspace
 
 NL, END = "\r\n", "\r\n\r\n"
 #: RFC 4648 alphabet, beside the digits that conv() writes in base 32.
@@ -143,9 +143,10 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def op10_warc_transactions(spark, sf_dir: str) -> DataFrame:
-    folder = f"{workspace(spark)}/warc"
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    caps = assemble(read_warc(spark, folder, payloads=False))
+    folder = workspace(spark)
+    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{folder}/warc")
+    # parsed once: assemble() takes the records four times
+    caps = assemble(materialise(read_warc(spark, f"{folder}/warc", payloads=False), folder, "records"))
     return caps.select(F.col("capture.page_id").alias("page_id"), F.coalesce("capture.payload_bytes", "origin.payload_bytes").alias("payload_bytes"), F.col("capture.payload_digest").alias("payload_digest"), F.col("capture.record_type").alias("record_type"), F.col("origin.page_id").alias("refers_to"))
 
 

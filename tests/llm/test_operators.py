@@ -376,3 +376,18 @@ def test_warc_round_trip(spark, none):
     empty = workspace(spark) + "/e"
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert warc.assemble(warc.read_warc(spark, empty)).count() == 0
+
+
+def test_warc_archives_are_parsed_once(spark, monkeypatch):
+    parsed, real = spark.sparkContext.accumulator(0), warc._parse
+
+    def counted(payloads):
+        def run(batches):
+            for b in real(payloads)(batches):
+                parsed.add(sum(k in ("response", "revisit") for k in b.column(1).to_pylist()))
+                yield b
+
+        return run
+
+    monkeypatch.setattr(warc, "_parse", counted)
+    assert len(queries.QUERIES["op10_warc_transactions"](spark, SF).collect()) == parsed.value > 0
