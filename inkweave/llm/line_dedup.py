@@ -2,7 +2,8 @@
 
 A line is a set of words. Words are ordered by rarity (counts of all words of the corpus in 262,144 hash bins, a bound
 that doesn't grow, in steps of half a power of two; ties by hash), and lines that reach the similarity share a word
-among their rarest ones: of n words the first n - ceil(t n) + 1. Lines meet on these words; pairs that sizes, the
+among their rarest ones: of n words the first n - ceil(t n) + 1, in the smaller of two lines the first
+n - ceil(2 t n / (1 + t)) + 1. Lines meet on these words, the smaller by the fewer; pairs that sizes, the
 word's positions or a parity sketch of 64 bits (128 in long lines) rule out are dropped, the others verified by the exact Jaccard
 similarity of their words. A line goes if an earlier one (smaller doc_id, or the same and a smaller line number) is
 similar, whether that one stays or goes.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import GAP, WORD, discard, documents, materialise, release, workspace
 
-THRESHOLD, BINS, HOT = 0.8, 1 << 18, 512
+THRESHOLD, BINS, LANES, HOT = 0.8, 1 << 18, 4, 512
 #: Different words from which sizes are all the same, a pair's words from which 512 bits are compared, and a line's from which 128 are.
 MOST, LONG, WIDE = 65_535, 400, 90
 
@@ -40,10 +41,24 @@ def _shifted(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
 
 
+def _gap(text: Column) -> Column:
+    """Pattern that splits the lines of text into words: a single space, which Java splits at without a pattern, unless the text has other blanks."""
+    return F.when(F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\v")) | F.contains(text, F.lit("\f")) | F.contains(text, F.lit("\r")), F.lit(GAP)).otherwise(F.lit(" "))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """l, line and gap of each line, after the other columns of docs."""
+    rest = [c for c in docs.columns if c != "text"]
+    return docs.withColumn("gap", _gap(F.col("text"))).select(*rest, "gap", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+
+
 def rarity(docs: DataFrame, bins: int = BINS) -> Column:
     """Constant array: for each bin twice the logarithm (base 2) of the number of the corpus's words in it."""
-    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), GAP)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(bins - 1)).alias("bin")).agg(F.floor(F.log2(F.count("*")) * 2).alias("level"))
+    slots = bins // LANES  # a row counts LANES bins, so that a task's rows are few
+    words = _lines(docs.select("text")).select(F.explode(F.split("line", F.col("gap"))).alias("w")).where("w <> ''").select(F.xxhash64("w").bitwiseAND(F.lit(bins - 1)).alias("bin"))
+    rows = words.groupBy(F.col("bin").bitwiseAND(F.lit(slots - 1)).alias("slot")).agg(*[F.count_if(F.col("bin") >= i * slots).alias(f"from{i}") for i in range(LANES)])
+    lane = lambda i: F.col(f"from{i}") - (F.col(f"from{i + 1}") if i + 1 < LANES else F.lit(0))
+    counts = rows.select(F.inline(F.array(*[F.struct((F.col("slot") + i * slots).alias("bin"), lane(i).alias("c")) for i in range(LANES)]))).where("c > 0").select("bin", F.floor(F.log2("c") * 2).alias("level"))
     parts = counts.groupBy(F.expr("bin div 64").cast("int").alias("part")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("bin") % 64).cast("int"), "level"))).alias("have"))
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.try_element_at("have", i), F.lit(0)).cast("string")), ",")
     rows = {r["part"]: r["text"] for r in parts.select("part", text.alias("text")).collect()}  # at most bins / 64 rows
@@ -56,10 +71,10 @@ def word_set(line: Column) -> Column:
     return F.array_distinct(F.filter(F.split(line, GAP), lambda w: w != ""))
 
 
-def word_keys(line: Column, ranks: Column, bins: int = BINS) -> Column:
-    """Sorted keys of a line's different words, the rarest first: 7 bits of rank, 56 of the word's hash."""
-    hashes = F.array_except(F.transform(F.split(line, GAP), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
-    rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(bins - 1)).cast("int")), F.lit(0).cast("long"))
+def word_keys(line: Column, gap: Column, ranks: Column, bins: int = BINS) -> Column:
+    """Sorted keys of a line's different words (between the pattern gap), the rarest first: 7 bits of rank, 56 of the word's hash."""
+    hashes = F.array_except(F.transform(F.split(line, gap), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(bins - 1))), F.lit(0).cast("long"))
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
@@ -90,6 +105,11 @@ def _before(y: str, x: str) -> Column:
     return (F.col(f"{y}.d") < F.col(f"{x}.d")) | ((F.col(f"{y}.d") == F.col(f"{x}.d")) & (_line(F.col(f"{y}.q")) < _line(F.col(f"{x}.q"))))
 
 
+def _smaller(x: str, y: str, threshold: float) -> Column:
+    """Whether x is the smaller of two lines of like size, or the later one of two of equal size."""
+    return (_size(x) >= _size(y) * threshold - 1e-9) & (_size(x) <= _size(y)) & ((_size(x) < _size(y)) | _before(y, x))
+
+
 def _line(q: Column) -> Column:
     return F.shiftrightunsigned(q, 32)
 
@@ -119,6 +139,12 @@ def _may(x: str, y: str, threshold: float) -> Column:
     return fits | (F.greatest(_size(x), _size(y)) >= MOST)
 
 
+def early(posts: DataFrame, threshold: float) -> DataFrame:
+    """Postings (q) that a line has to meet larger lines on: of two similar lines the smaller one, of n words, has the first word that both share among its first n - ceil(2 t n / (1 + t)) + 1."""
+    n = F.shiftrightunsigned("q", 16).bitwiseAND(F.lit(MOST))
+    return posts.where((F.col("q").bitwiseAND(F.lit(MOST)) <= n - _need(2 * n, threshold)) | (n >= MOST))
+
+
 def _apart(a: Column, b: Column, both: Column, threshold: float) -> Column:
     """Whether the 512 bits of two lines (null: unknown) rule a pair out."""
     differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(8)), F.lit(0))
@@ -133,8 +159,11 @@ def _narrowed(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
-    """(n, far, xd, xl, yd, yl) of joined postings x and y; n: words of both; far: bits in which the sketches differ."""
-    return joined.select((_size("x") + _size("y")).alias("n"), _far("x", "y").alias("far"), F.col("x.d").alias("xd"), _line(F.col("x.q")).cast("int").alias("xl"), F.col("y.d").alias("yd"), _line(F.col("y.q")).cast("int").alias("yl")).distinct()
+    """(n, far, xd, xl, yd, yl) of joined postings x and y, the later line first; n: words of both; far: bits in which the sketches differ."""
+    later = lambda a, b: F.when(_before("y", "x"), a).otherwise(b)
+    xl, yl = (_line(F.col(f"{t}.q")).cast("int") for t in "xy")
+    ends = later(F.col("x.d"), F.col("y.d")).alias("xd"), later(xl, yl).alias("xl"), later(F.col("y.d"), F.col("x.d")).alias("yd"), later(yl, xl).alias("yl")
+    return joined.select((_size("x") + _size("y")).alias("n"), _far("x", "y").alias("far"), *ends).distinct()
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -170,28 +199,28 @@ def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, ho
     """base: __row (unique, in the order of documents), text. Returns __row, lines: sorted numbers (from 0) of the lines that have a similar earlier one."""
     base = base.where("__row is not null and text is not null").select(F.col("__row").alias("d"), "text")
     least = F.lit(int(threshold / (1 - threshold) - 1e-9) + 1)  # smaller sets are similar to equal ones only
-    made = base.select("d", F.posexplode(F.split("text", "\n")).alias("l", "line")).where(F.col("line").rlike(WORD))
-    made = made.withColumn("s", word_keys(F.col("line"), rarity(base))).withColumn("n", F.size("s"))
+    made = _lines(base).where(F.col("line").rlike(WORD))
+    made = made.withColumn("s", word_keys(F.col("line"), F.col("gap"), rarity(base))).withColumn("n", F.size("s"))
     width = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     rare = F.transform(F.slice("s", F.lit(1), width), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
     odd = F.when(F.col("n") >= WIDE, _parity(F.filter("s", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
-    made = made.select("d", "l", "n", F.xxhash64("s").alias("k1"), F.xxhash64("s", F.lit(7)).alias("k2"), _parity(F.col("s")).alias("s"), odd.alias("t"), F.when(F.col("n") >= least, rare).alias("rare"))
+    made = made.select("d", "l", "n", F.xxhash64("s").alias("k"), _parity(F.col("s")).alias("s"), odd.alias("t"), F.when(F.col("n") >= least, rare).alias("rare"))
     lines = materialise(made, folder, "lines")
-    # the first line of each word set that more than one line has
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("f"), F.count("*").alias("copies")).where("copies > 1").select("k1", "k2", "f")
-    sets = lines.join(first.hint("merge"), ["k1", "k2"], "left").withColumn("again", F.coalesce((F.col("d") != F.col("f.d")) | (F.col("l") != F.col("f.l")), F.lit(False)))
+    # the first line of each word set that more than one line has; a set is told by the hash, the sketch and the size
+    first = materialise(lines.groupBy("k", "s", "n").agg(F.min(F.struct("d", "l")).alias("f"), F.count("*").alias("copies")).where("copies > 1").select("k", "s", "n", "f"), folder, "first")
+    sets = lines.join(first.hint("shuffle_hash"), ["k", "s", "n"], "left").withColumn("again", F.coalesce((F.col("d") != F.col("f.d")) | (F.col("l") != F.col("f.l")), F.lit(False)))
     sets = materialise(sets.select("d", "l", "again", F.least("n", F.lit(MOST)).alias("n"), F.when(~F.col("again"), F.col("s")).alias("s"), F.when(~F.col("again"), F.col("t")).alias("t"), F.when(~F.col("again"), F.col("rare")).alias("rare")), folder, "sets")
     del lines, first
-    discard(spark := base.sparkSession, folder, "lines")
+    discard(spark := base.sparkSession, folder, "lines", "first")
     release(spark)
     q = lambda pos: F.shiftleft(F.col("l").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 16)).bitwiseOR(F.least(pos, F.lit(MOST)).cast("long"))
     posts = sets.where("not again and rare is not null").select("d", "l", "n", "s", "t", F.posexplode("rare").alias("pos", "w")).select("w", "d", q(F.col("pos")).alias("q"), "s", "t")
-    many = posts.groupBy("w").agg(F.count("*").alias("c")).where("c > 1")
-    cold = posts.join(many.where(F.col("c") <= hot).select("w").hint("shuffle_hash"), "w")
-    meet = cold.alias("x").join(cold.alias("y").hint("merge"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold))
+    many = materialise(posts.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("w"), folder, "hot")  # few: joined by broadcast where they are
+    cold = early(posts, threshold).join(many, "w", "left_anti")
+    meet = cold.alias("x").join(posts.alias("y").hint("merge"), (F.col("x.w") == F.col("y.w")) & _smaller("x", "y", threshold) & _may("x", "y", threshold))
     none = lambda *kinds: [F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in kinds]
     cold_pairs = _pairs(meet).select("n", "far", "xd", "xl", "yd", "yl", *none("w int", "q long", "s long", "t long"))
-    crowd = posts.join(many.where(F.col("c") > hot).select("w").hint("shuffle_hash"), "w").select(*none("n long", "far int"), F.col("d").alias("xd"), *none("xl int", "yd long", "yl int"), "w", "q", "s", "t")
+    crowd = posts.join(many, "w").select(*none("n long", "far int"), F.col("d").alias("xd"), *none("xl int", "yd long", "yl int"), "w", "q", "s", "t")
     met = materialise(cold_pairs.unionByName(crowd), folder, "met")
     del posts, many, cold, meet, cold_pairs, crowd
     release(spark)
@@ -223,7 +252,7 @@ def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, ho
         release(spark)
         found = found.unionByName(_first_alike(rest, texts, threshold, folder, "rest"))
     out = materialise(found.groupBy("d").agg(F.sort_array(F.collect_set("l")).alias("lines")).withColumnRenamed("d", "__row"), folder, "removed")
-    discard(spark, folder, "sets", "met", "pairs", "narrowed", "texts", "wide", "rest")
+    discard(spark, folder, "sets", "hot", "met", "pairs", "narrowed", "texts", "wide", "rest")
     release(spark)
     return out
 

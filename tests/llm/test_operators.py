@@ -176,6 +176,29 @@ def test_lines_of_edited_copies(spark, hot):
     assert got == want and len(want) < 120
 
 
+@pytest.mark.parametrize("blank", [" ", "  ", "\t", "\v", "\f", "\r", " \t "])
+def test_lines_are_split_at_every_blank(spark, blank):
+    gap = spark.createDataFrame([("a b\nc",), (f"a{blank}b",), (f"{blank}a b{blank}\nb a",)], "text string").select("text", ld._gap(F.col("text")).alias("gap")).collect()
+    assert [r["gap"] for r in gap] == [" "] + [" " if blank.strip(" ") == "" else ld.GAP] * 2
+    docs = [(1, "a b c d e"), (2, blank.join("a b c d e".split())), (3, f"{blank}e d c b a{blank}\nx y"), (4, blank), (5, f"y{blank}x{blank}{blank}")]
+    got = {r["doc_id"]: r["text"] for r in ld.cut_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: "a b c d e", 2: "", 3: "x y", 4: blank, 5: ""}
+
+
+def test_smaller_line_meets_by_fewer_words(spark):
+    """Postings of the smaller line are about half, and every similar pair still has its first shared word among them."""
+    r, t = random.Random(2), 0.8
+    sets = [sorted(r.sample(range(300), r.randrange(5, 60))) for _ in range(40)]
+    for s in list(sets):
+        for _ in range(6):
+            sets.append(sorted((set(s) - set(r.sample(s, len(s) // r.choice((6, 9, 20))))) | set(r.sample(range(300), len(s) // r.choice((9, 20, 50))))))
+    posts = [(i, len(s) << 16 | p, w) for i, s in enumerate(sets) for p, w in enumerate(s[: len(s) - -(-len(s) * 4 // 5) + 1])]
+    kept = {(x["d"], x["w"]) for x in ld.early(spark.createDataFrame(posts, "d int, q long, w int"), t).collect()}
+    assert len(kept) < 0.75 * len(posts)
+    pairs = [(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and len(sets[a]) <= len(sets[b]) and len(set(sets[a]) & set(sets[b])) * 5 >= 4 * len(set(sets[a]) | set(sets[b]))]
+    assert len(pairs) > 200 and all((a, min(set(sets[a]) & set(sets[b]))) in kept for a, b in pairs)
+
+
 @pytest.mark.parametrize("hot", [1, 3, 512])
 def test_lines_of_all_sizes(spark, hot):
     r = random.Random(11)
