@@ -22,10 +22,12 @@ and ignored by the query.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAP, WORD, discard, documents, materialise, release, workspace
+from .common import GAP, discard, documents, materialise, release, workspace
 
 THRESHOLD, BINS, LANES, HOT = 0.8, 1 << 18, 4, 512
 #: Different words from which sizes are all the same, a pair's words from which 512 bits are compared, and a line's from which 128 are.
@@ -36,11 +38,6 @@ def _once(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _shifted(bit: Column) -> Column:
-    """1 << (bit mod 64)."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-
-
 def _gap(text: Column) -> Column:
     """Pattern that splits the lines of text into words: a single space, which Java splits at without a pattern, unless the text has other blanks."""
     return F.when(F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\v")) | F.contains(text, F.lit("\f")) | F.contains(text, F.lit("\r")), F.lit(GAP)).otherwise(F.lit(" "))
@@ -68,26 +65,30 @@ def rarity(docs: DataFrame, bins: int = BINS) -> Column:
 
 def word_set(line: Column) -> Column:
     """The different words of a line."""
-    return F.array_distinct(F.filter(F.split(line, GAP), lambda w: w != ""))
+    return F.array_except(F.split(line, _gap(line)), F.array(F.lit("")))
 
 
 def word_keys(line: Column, gap: Column, ranks: Column, bins: int = BINS) -> Column:
-    """Sorted keys of a line's different words (between the pattern gap), the rarest first: 7 bits of rank, 56 of the word's hash."""
+    """Sorted keys of a line's different words (between the pattern gap), the rarest first: 7 bits of rank, the lower 56 of the word's hash."""
     hashes = F.array_except(F.transform(F.split(line, gap), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
     rank = lambda h: F.coalesce(F.get(ranks, h.bitwiseAND(F.lit(bins - 1))), F.lit(0).cast("long"))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rank(h), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))))
+
+
+def _bits(size: int = 64) -> Column:
+    """Constant array: 1 << i at place i, 0 from place 64 to size."""
+    return F.array(*[F.lit((i < 64) * (1 << i if i < 63 else -1 << 63)).cast("long") for i in range(size)])
 
 
-def _parity(keys: Column) -> Column:
-    """64 bits, each the parity of the number of keys that fall on it: two sets differ in as many words as bits at least."""
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(_shifted(k)))
+def _parity(keys: Column, size: int = 64) -> Column:
+    """64 bits, each the parity of the number of keys that fall on it, the first 64 of size: two sets differ in as many words as bits at least."""
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(_bits(size)[k.bitwiseAND(F.lit(size - 1))]))
 
 
 def _wide(words: Column) -> Column:
     """512 such bits, as 8 numbers."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    one = lambda i: F.aggregate(F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(7)) == i), F.lit(0).cast("long"), lambda acc, h: acc.bitwiseXOR(_shifted(h)))
-    return F.transform(F.sequence(F.lit(0), F.lit(7)), one)
+    part = lambda hashes, i: F.filter(hashes, lambda h: F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(7)) == i)
+    return _once(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: _parity(part(hashes, i))))
 
 
 def numbered(docs: DataFrame, folder: str) -> tuple[DataFrame, bool]:
@@ -188,34 +189,36 @@ def _jaccard(a: Column, b: Column) -> Column:
     return _once(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
-def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """d, l, line and b (512 bits of a long one) of the lines in ids (d, l)."""
+def _texts(base: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
+    """d, l, line and b (512 bits of one that may be of a pair of long lines) of the lines in ids (d, l)."""
     wanted = ids.distinct().groupBy("d").agg(F.collect_list("l").alias("ls"))
     lines = _once(F.split("text", "\n"), lambda parts: F.transform("ls", lambda i: F.struct(i.alias("l"), F.get(parts, i).alias("line"))))
-    return base.join(wanted.hint("merge"), "d").select("d", F.inline(lines)).select("*", _once(word_set(F.col("line")), lambda ws: F.when(F.size(ws) > LONG // 3, _wide(ws))).alias("b"))
+    return base.join(wanted.hint("merge"), "d").select("d", F.inline(lines)).select("*", _once(word_set(F.col("line")), lambda ws: F.when(F.size(ws) >= _need(F.lit(LONG), threshold), _wide(ws))).alias("b"))
 
 
 def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """base: __row (unique, in the order of documents), text. Returns __row, lines: sorted numbers (from 0) of the lines that have a similar earlier one."""
     base = base.where("__row is not null and text is not null").select(F.col("__row").alias("d"), "text")
     least = F.lit(int(threshold / (1 - threshold) - 1e-9) + 1)  # smaller sets are similar to equal ones only
-    made = _lines(base).where(F.col("line").rlike(WORD))
-    made = made.withColumn("s", word_keys(F.col("line"), F.col("gap"), rarity(base))).withColumn("n", F.size("s"))
+    ranks = rarity(base)
+    made = _lines(base).withColumn("s", word_keys(F.col("line"), F.col("gap"), ranks)).withColumn("n", F.size("s"))
     width = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
     rare = F.transform(F.slice("s", F.lit(1), width), lambda k: k.bitwiseAND(F.lit((1 << 31) - 1)).cast("int"))
-    odd = F.when(F.col("n") >= WIDE, _parity(F.filter("s", lambda k: k.bitwiseAND(F.lit(64)) != 0))).otherwise(F.lit(0).cast("long"))
+    odd = F.when(F.col("n") >= WIDE, _parity(F.col("s"), 128)).otherwise(F.lit(0).cast("long"))
     made = made.select("d", "l", "n", F.xxhash64("s").alias("k"), _parity(F.col("s")).alias("s"), odd.alias("t"), F.when(F.col("n") >= least, rare).alias("rare"))
-    lines = materialise(made, folder, "lines")
+    lines = materialise(made, folder, "lines").where("n > 0")
     # the first line of each word set that more than one line has; a set is told by the hash, the sketch and the size
-    first = materialise(lines.groupBy("k", "s", "n").agg(F.min(F.struct("d", "l")).alias("f"), F.count("*").alias("copies")).where("copies > 1").select("k", "s", "n", "f"), folder, "first")
-    sets = lines.join(first.hint("shuffle_hash"), ["k", "s", "n"], "left").withColumn("again", F.coalesce((F.col("d") != F.col("f.d")) | (F.col("l") != F.col("f.l")), F.lit(False)))
+    place = F.col("d").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("l")  # a number, so that it is aggregated by hash
+    first = materialise(lines.groupBy("k", "s", "n").agg(F.min(place).alias("f"), F.count("*").alias("copies")).where("copies > 1").select("k", "s", "n", "f"), folder, "first")
+    sets = lines.join(first.hint("shuffle_hash"), ["k", "s", "n"], "left").withColumn("again", F.when(F.col("f").isNull(), False).otherwise(place != F.col("f")))
     sets = materialise(sets.select("d", "l", "again", F.least("n", F.lit(MOST)).alias("n"), F.when(~F.col("again"), F.col("s")).alias("s"), F.when(~F.col("again"), F.col("t")).alias("t"), F.when(~F.col("again"), F.col("rare")).alias("rare")), folder, "sets")
     del lines, first
     discard(spark := base.sparkSession, folder, "lines", "first")
     release(spark)
     q = lambda pos: F.shiftleft(F.col("l").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 16)).bitwiseOR(F.least(pos, F.lit(MOST)).cast("long"))
     posts = sets.where("not again and rare is not null").select("d", "l", "n", "s", "t", F.posexplode("rare").alias("pos", "w")).select("w", "d", q(F.col("pos")).alias("q"), "s", "t")
-    many = materialise(posts.groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("w"), folder, "hot")  # few: joined by broadcast where they are
+    often = F.get(ranks, F.col("w").bitwiseAND(F.lit(BINS - 1))) >= max(0, int(2 * log2(hot + 1)) - 1)  # only where the word's bin counts so many
+    many = materialise(posts.where(often).groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("w"), folder, "hot")  # few: joined by broadcast where they are
     cold = early(posts, threshold).join(many, "w", "left_anti")
     meet = cold.alias("x").join(posts.alias("y").hint("merge"), (F.col("x.w") == F.col("y.w")) & _smaller("x", "y", threshold) & _may("x", "y", threshold))
     none = lambda *kinds: [F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in kinds]
@@ -230,7 +233,7 @@ def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, ho
     pairs = materialise(pairs.unionByName(star).distinct(), folder, "pairs")
     release(spark)
     ids = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("d"), F.col("xl").alias("l")), F.struct(F.col("yd").alias("d"), F.col("yl").alias("l")))).alias("i")).select("i.*")
-    texts = materialise(_texts(base, ids.unionByName(crowd.select("d", _line(F.col("q")).cast("int").alias("l")))), folder, "texts")
+    texts = materialise(_texts(base, ids.unionByName(crowd.select("d", _line(F.col("q")).cast("int").alias("l"))), threshold), folder, "texts")
     release(spark)
     pairs = materialise(_narrowed(pairs, texts, threshold), folder, "narrowed")
     release(spark)
@@ -286,7 +289,7 @@ def drop_lines(docs: DataFrame, threshold: float = THRESHOLD, folder: str | None
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = drop_lines(documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 OP3_SQL = r"""

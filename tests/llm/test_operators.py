@@ -230,6 +230,30 @@ def test_lines_of_all_sizes(spark, hot):
     assert got == want
 
 
+def test_line_keys_name_the_bins_of_their_words(spark):
+    """So postings of words that the corpus's bins rule out as hot need no counting; sketches: bit by bit the parity of the keys."""
+    words = [f"v{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 50 :])) for i in range(80)], "d long, text string")
+    ranks = ld.rarity(docs)
+    line = ld._lines(docs).where("d = 0").withColumn("s", ld.word_keys(F.col("line"), F.col("gap"), ranks))
+    got = line.select("s", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("h"), ld._parity(F.col("s")).alias("p"), ld._parity(F.col("s"), 128).alias("half")).first()
+    low = (1 << 56) - 1
+    assert len(got["h"]) == 200 and {k & low for k in got["s"]} == {h & low for h in got["h"]} and got["s"] == sorted(got["s"])
+    at = spark.range(1).select(F.transform(F.lit([k & (ld.BINS - 1) for k in got["s"]]), lambda b: F.get(ranks, b)).alias("r")).first()["r"]
+    assert at == [k >> 56 for k in got["s"]] and min(at) > 0
+    for mask, mine in ((63, got["p"]), (127, got["half"])):
+        bits = 0
+        for k in got["s"]:
+            bits ^= (1 << (k & mask)) & ((1 << 64) - 1)
+        assert bits == mine & ((1 << 64) - 1)
+
+
+def test_lines_of_extreme_doc_ids(spark):
+    ids = [(1 << 63) - 1, 0, -1, -(1 << 63), 1 << 40]
+    got = ld.cut_lines(spark.createDataFrame([(i, "a b\na b c d e f\na b") for i in ids], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {i: "a b\na b c d e f" if i == -(1 << 63) else "" for i in ids}
+
+
 def test_lines_of_repeated_doc_ids(spark):
     long = " ".join(f"x{i}" for i in range(70_000))
     rows = [(1, "a b c d e\nz"), (1, "a b c d e\nz"), (1, "other one\na b c d e f"), (2, "a b c d e"), (2, None), (3, long), (4, long + " y"), (None, "a b c d e")]
