@@ -178,6 +178,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def _first_alike(pairs: DataFrame, texts: DataFrame, threshold: float, folder: str, name: str) -> DataFrame:
     """The same, but each line is compared with the one of the nearest sketch first and with the others only if that one isn't similar."""
     near = pairs.groupBy("xd", "xl").agg(F.min(F.struct("far", "yd", "yl")).alias("m")).select("xd", "xl", "m.yd", "m.yl")
+    near = materialise(near, folder, f"{name}-nearest")
     one = materialise(_alike(near, texts, threshold), folder, f"{name}-near")
     release(pairs.sparkSession)
     open_ = pairs.join(one.select(F.col("d").alias("xd"), F.col("l").alias("xl")).hint("merge"), ["xd", "xl"], "left_anti")
@@ -189,11 +190,11 @@ def _jaccard(a: Column, b: Column) -> Column:
     return _once(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
-def _texts(base: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
-    """d, l, line and b (512 bits of one that may be of a pair of long lines) of the lines in ids (d, l)."""
-    wanted = ids.distinct().groupBy("d").agg(F.collect_list("l").alias("ls"))
-    lines = _once(F.split("text", "\n"), lambda parts: F.transform("ls", lambda i: F.struct(i.alias("l"), F.get(parts, i).alias("line"))))
-    return base.join(wanted.hint("merge"), "d").select("d", F.inline(lines)).select("*", _once(word_set(F.col("line")), lambda ws: F.when(F.size(ws) >= _need(F.lit(LONG), threshold), _wide(ws))).alias("b"))
+def _texts(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """d, l, line and b (512 bits of one that is in a pair of long lines) of the lines in ids (d, l, long)."""
+    wanted = ids.groupBy("d", "l").agg(F.max("long").alias("long")).groupBy("d").agg(F.collect_list(F.struct("l", "long")).alias("ls"))
+    lines = _once(F.split("text", "\n"), lambda parts: F.transform("ls", lambda i: F.struct(i["l"].alias("l"), F.get(parts, i["l"]).alias("line"), i["long"].alias("long"))))
+    return base.join(wanted.hint("merge"), "d").select("d", F.inline(lines)).select("d", "l", "line", F.when(F.col("long"), _wide(word_set(F.col("line")))).alias("b"))
 
 
 def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
@@ -232,8 +233,9 @@ def similar_lines(base: DataFrame, folder: str, threshold: float = THRESHOLD, ho
     star = _pairs(crowd.alias("x").join(lead.alias("y"), (F.col("x.w") == F.col("y.w")) & _before("y", "x") & _may("x", "y", threshold)))
     pairs = materialise(pairs.unionByName(star).distinct(), folder, "pairs")
     release(spark)
-    ids = pairs.select(F.explode(F.array(F.struct(F.col("xd").alias("d"), F.col("xl").alias("l")), F.struct(F.col("yd").alias("d"), F.col("yl").alias("l")))).alias("i")).select("i.*")
-    texts = materialise(_texts(base, ids.unionByName(crowd.select("d", _line(F.col("q")).cast("int").alias("l"))), threshold), folder, "texts")
+    ends = F.array(*[F.struct(F.col(f"{t}d").alias("d"), F.col(f"{t}l").alias("l"), (F.col("n") > LONG).alias("long")) for t in "xy"])
+    ids = pairs.select(F.inline(ends)).unionByName(crowd.select("d", _line(F.col("q")).cast("int").alias("l"), F.lit(False).alias("long")))
+    texts = materialise(_texts(base, ids), folder, "texts")
     release(spark)
     pairs = materialise(_narrowed(pairs, texts, threshold), folder, "narrowed")
     release(spark)
