@@ -97,3 +97,27 @@ def test_semantic_merge(spark):
     got = sorted(((r["id"], r["source"], r["target"], r["rationale"], r["similarity"]) for r in e.collect()), key=lambda r: r[0])
     assert got == [("e1_supports", "b", "c", "longer one", None), ("e2_supports", "b", "d", None, None), ("e3_supports", "d", "gone", None, None), ("e4_semantically_related_to", "e", "d", None, 0.8)]
     assert [(r["root"], r["id"]) for r in c.aliases(nodes, ids).collect()] == [("b", "a")]
+
+
+@pytest.mark.parametrize("tile", [7, 1000])
+def test_join_that_keeps_the_best_only(spark, tile):
+    """Of each left row, or of each two groups, the best is among what stays, and little else."""
+    r = random.Random(11)
+    rows = [(r.randrange(3), i, [r.gauss(0, 1) for _ in range(6)]) for i in range(60)] + [(0, 100, [1.0] * 6), (1, 101, [1.0] * 6), (1, 102, [2.0] * 6)]
+    df = spark.createDataFrame([(0, g, i, v, 0.1) for g, i, v in rows], "k int, g int, id int, v array<double>, t double")
+    cos = {(x[1], y[1]): np.dot(x[2], y[2]) / np.linalg.norm(x[2]) / np.linalg.norm(y[2]) for x in rows for y in rows}
+    group, left, right = {i: g for g, i, _ in rows}, df.withColumnRenamed("id", "a"), df.withColumnRenamed("id", "b")
+    for best, at in (("row", lambda a, b: a), ("group", lambda a, b: (group[a], group[b]))):
+        got, most = cosine_join(left, right, ["k"], 6, tile, best).collect(), {}
+        for (a, b), c in cos.items():
+            most[at(a, b)] = max(most.get(at(a, b), 0.1), c)
+        want = {(a, b) for (a, b), c in cos.items() if c > most[at(a, b)] - 1e-9}
+        assert want <= {(x["a"], x["b"]) for x in got} and len(got) < (len(cos) if tile == 7 else 4 * len(want)) / 2
+        assert all(abs(x["cosine"] - cos[x["a"], x["b"]]) < 1e-12 for x in got)
+
+
+def test_groups_of_the_join_are_tiles(spark):
+    """A key of many rows is met in pieces of about a tile, and no pair twice."""
+    df = spark.createDataFrame([("k", i, [1.0, i / 200], 0.0) for i in range(200)], "k string, id int, v array<double>, t double")
+    got = similar_pairs(df, ["k"], 2, 16)
+    assert sorted((x["a"], x["b"]) for x in got.select("a", "b").collect()) == [(i, j) for i in range(200) for j in range(i + 1, 200)]
