@@ -3,7 +3,7 @@
 Each pair goes through the stages in order and ends at the first that fails, with its reason and phase: questions or
 theses on both sides; a pair of them that is similar enough; a claim on either side, which is the paper's primary claim
 or finding or, where it has none, the `top_k` chunks nearest to its aligned question. Every stage is a join on papers;
-the alignment is the pruned vector join, and chunks are only looked at for papers without a claim.
+the alignment is a vector join that keeps the best of two papers, and chunks are only looked at for papers without a claim.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ def aligned(pairs: DataFrame, questions: DataFrame, dims: int) -> DataFrame:
     """paper_a, paper_b, a, b (ids and labels as structs, with the vector): the most similar questions of each pair (ties by ids), if
     their cosine reaches the threshold of their labels."""
     least = min(m.QUESTION_SIMILAR, m.QUESTION_SIMILAR_ENGLISH)
-    side = questions.select(F.lit(0).alias("all"), F.struct("paper_id", "id", "label", "v").alias("q"), "v", F.lit(least - 1e-9).alias("t"))
-    met = cosine_join(side.withColumnRenamed("q", "a"), side.withColumnRenamed("q", "b"), ["all"], dims).where(F.col("cosine") >= least)
+    side = questions.select(F.lit(0).alias("all"), F.struct("paper_id", "id", "label", "v").alias("q"), "v", F.lit(least - 1e-9).alias("t"), F.col("paper_id").alias("g"))
+    met = cosine_join(side.withColumnRenamed("q", "a"), side.withColumnRenamed("q", "b"), ["all"], dims, best="group").where(F.col("cosine") >= least)
     met = met.select(F.col("a.paper_id").alias("paper_a"), F.col("b.paper_id").alias("paper_b"), "a", "b", "cosine").join(pairs, ["paper_a", "paper_b"], "left_semi")
     best = met.groupBy("paper_a", "paper_b").agg(F.min_by(F.struct("a", "b", "cosine"), F.struct(-F.col("cosine"), "a.id", "b.id")).alias("m"))
     return best.where(F.col("m.cosine") >= question_threshold(F.col("m.a.label"), F.col("m.b.label"))).select("paper_a", "paper_b", "m.a", "m.b")
