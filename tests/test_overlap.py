@@ -1,5 +1,7 @@
 """What backs a pair of methods, and which pair is best."""
 
+import random
+
 from inkweave.operators.overlap import best_method_pairs, resonance
 
 
@@ -27,3 +29,23 @@ def test_best_pair(spark):
     got = {(r["paper_a"], r["paper_b"]): (r["a"], r["b"], r["backed_by"]) for r in best_method_pairs(n, e, 2).collect()}
     assert got[1, 2] == ("m1", "n1", "similar_question") and got[1, 4] == ("m1", "p1", "question") and (2, 4) not in got
     assert best_method_pairs(n.limit(0), e, 2).count() == 0
+
+
+def test_best_pairs_by_rungs(spark):
+    """Going down by rungs gives what all pairs give: backed and unbacked methods that stand in many papers."""
+    r = random.Random(3)
+    v = {m: [r.gauss(0, 1) for _ in range(3)] for m in range(12)}
+    has = [(p, m) for p in range(6) for m in v if r.random() < 0.6]
+    nodes = [(p, f"m{m}", f"label {m}", "Method", v[m]) for p, m in has] + [(p, f"d{k}", f"set {k}", "Dataset", None) for p in range(6) for k in range(4)]
+    edges = [(p, f"m{m}", f"d{k}") for p, m in has for k in range(4) if r.random() < 0.2]
+    n, e = spark.createDataFrame(nodes, "paper_id int, id string, label string, type string, v array<double>"), spark.createDataFrame(edges, "paper_id int, source string, target string")
+    cos = lambda x, y: sum(a * b for a, b in zip(x, y)) / (sum(a * a for a in x) * sum(b * b for b in y)) ** 0.5
+    near = {(p, m): {k for q, s, k in edges if (q, s) == (p, f"m{m}")} for p, m in has}
+    want = {}
+    for p, x in has:
+        for q, y in has:
+            if p < q and x != y and near[p, x] & near[q, y] and cos(v[x], v[y]) >= 0.2:
+                want[p, q] = min(want.get((p, q), (9, "", "")), (-round(cos(v[x], v[y]), 9), f"m{x}", f"m{y}"))
+    for rungs in ((), (0.95, 0.8, 0.5)):
+        got = {(x["paper_a"], x["paper_b"]): (-round(x["cosine"], 9), x["a"], x["b"]) for x in best_method_pairs(n, e, 3, 0.2, rungs).collect()}
+        assert got == want
