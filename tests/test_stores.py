@@ -64,3 +64,11 @@ def test_envelopes_carry_the_request_id(spark):
     assert "meta" not in json.loads(s.envelope(page, F.struct("id"), rows, 1, 2).first()["body"])
     one = rows.select(s.success(F.struct("id"), F.concat(F.lit("r"), F.col("name"))).alias("body")).collect()
     assert [json.loads(r["body"]) for r in one] == [{"data": {"id": 1}, "meta": {"request_id": "ra"}}, {"data": {"id": 2}, "meta": {}}, {"data": {"id": 3}, "meta": {"request_id": 'rc"d'}}]
+
+
+def test_deduped_edges_of_one_id(spark):
+    """Two edges of one id and rationales of one length: the smaller one, however the rows lie."""
+    e = [(1, "u1", "p", "o", "SUPPORTS", x) for x in ("N", "A", None)] + [(1, "u2", "p", "o", "SUPPORTS", "B")]
+    for rows in (e, e[::-1]):
+        df = spark.createDataFrame(rows, "paper_id long, id string, source string, target string, type string, rationale string").coalesce(1)
+        assert got(c.deduped(df)) == [(1, "e0_SUPPORTS", "p", "o", "SUPPORTS", "A")]
