@@ -18,7 +18,7 @@ def quality_gate(nodes: DataFrame, edges: DataFrame, coverage: float = m.MIN_SUP
     supports = F.col("type") == "SUPPORTS"
     e = edges.groupBy("paper_id").agg(F.count("*").alias("n_edges"), F.count(F.when(supports, 1)).alias("n_supports"), F.count(F.when(supports & (F.trim("rationale") != ""), 1)).alias("n_rationale"), F.count(F.when(F.col("type") == "RELATES_TO", 1)).alias("n_generic"))
     n = nodes.groupBy("paper_id").agg(F.count("*").alias("n_nodes"))
-    lone = nodes.join(endpoints(edges), ["paper_id", "id"], "left_anti").groupBy("paper_id").agg(F.count("*").alias("n_isolated"))
+    lone = nodes.join(endpoints(edges).distinct(), ["paper_id", "id"], "left_anti").groupBy("paper_id").agg(F.count("*").alias("n_isolated"))
     r = n.join(e, "paper_id", "left").join(lone, "paper_id", "left").fillna(0)
     r = r.withColumn("supports_coverage", F.round(F.coalesce(F.try_divide("n_rationale", "n_supports"), F.lit(1.0)), 6)).withColumn("isolated_ratio", F.round(F.coalesce(F.try_divide("n_isolated", "n_nodes"), F.lit(0.0)), 6)).withColumn("generic_ratio", F.round(F.coalesce(F.try_divide("n_generic", "n_edges"), F.lit(0.0)), 6))
     reasons = F.concat_ws(",", F.when(F.col("supports_coverage") < coverage, "supports_rationale_coverage"), F.when(F.col("isolated_ratio") > isolated, "isolated_node_ratio"), F.when(F.col("generic_ratio") > generic, "generic_edge_ratio"))

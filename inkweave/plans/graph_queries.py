@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import model as m
 from ..operators import graph as g
 from ..registry import query
-from ..sources.fixtures import GRAPH_SQL, edges, nodes
+from ..sources.fixtures import GRAPH_SQL, edges, graph, nodes
 
 G = f"WITH {GRAPH_SQL}"
 _types = lambda xs: ", ".join(f"'{x}'" for x in xs)
@@ -28,7 +28,7 @@ _types = lambda xs: ", ".join(f"'{x}'" for x in xs)
     "count(*) FILTER (WHERE x.id IS NULL) AS n_isolated FROM nodes LEFT JOIN (SELECT DISTINCT paper_id, id FROM (SELECT paper_id, source AS id FROM edges UNION ALL SELECT paper_id, target FROM edges)) x USING (paper_id, id) GROUP BY paper_id",
 ))
 def quality_gate(spark, sf):
-    return g.quality_gate(nodes(spark, sf), edges(spark, sf))
+    return g.quality_gate(*graph(spark, sf))
 
 
 @query("p03_graph_violations", G + f""", bad AS (

@@ -8,7 +8,7 @@ from ..operators import clusters as c
 from ..operators import graph as g
 from ..operators import stores as s
 from ..registry import ORACLES, query
-from ..sources.fixtures import GRAPH_SQL, STATUS_SQL, edges, nodes, status_events, table
+from ..sources.fixtures import GRAPH_SQL, STATUS_SQL, edges, graph, nodes, status_events, table
 from . import graph_queries  # noqa: F401  (registers the SQL of the gate)
 from .text_queries import _cos
 
@@ -18,7 +18,7 @@ GATE = ORACLES["a02_quality_gate"]
 
 
 def _gate(spark, sf):
-    return g.quality_gate(nodes(spark, sf), edges(spark, sf))
+    return g.quality_gate(*graph(spark, sf))
 
 
 @query("a03_isolated_ratio", f"SELECT paper_id, isolated_ratio FROM ({GATE})")
