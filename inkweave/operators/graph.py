@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as m
+from ..shared import shared_folder, written
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -70,6 +71,21 @@ def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return both.join(nodes.select("paper_id", F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("type").alias("other_type")), ["paper_id", "other"])
 
 
+def neighbour_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """paper_id, id, other_type, n: the number of neighbours() of each node by type. Each end is joined with the nodes in a
+    step of its own, and repeats go where the join has put them, so disk holds one shuffle of the edges."""
+    folder, out = shared_folder(nodes.sparkSession), None
+    pairs = edges.where("source <> target").select("paper_id", F.least("source", "target").alias("id"), F.greatest("source", "target").alias("other"))
+    # loops are met once; of an edge that lacks an end the other one is still a neighbour
+    rest = edges.where("source = target or source is null or target is null").select("paper_id", F.when(F.col("source") == F.col("target"), F.col("source")).alias("id"), F.coalesce("source", "target").alias("other"))
+    types = nodes.groupBy("paper_id", F.col("id").alias("other"), F.col("type").alias("other_type")).agg(F.count("*").alias("k"))
+    for n, way in enumerate((pairs.unionByName(rest), pairs.select("paper_id", F.col("other").alias("id"), F.col("id").alias("other")))):
+        step = way.join(types, ["paper_id", "other"]).groupBy("paper_id", "other", "id", "other_type").agg(F.max("k").alias("k"))
+        step = written(step.groupBy("paper_id", "id", "other_type").agg(F.sum("k").alias("n")), folder, f"way-{n}")
+        out = step if out is None else out.unionByName(step)
+    return out.groupBy("paper_id", "id", "other_type").agg(F.sum("n").alias("n"))
+
+
 def literal_overlap(nodes: DataFrame, kind: str) -> DataFrame:
     """For papers a < b, labels of type `kind` that both have (by lower trimmed label), first node of each side."""
     norm = F.lower(F.trim("label"))

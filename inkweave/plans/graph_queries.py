@@ -80,7 +80,7 @@ def label_intersection(spark, sf):
 @query("j06_one_hop", G + """, b AS (SELECT DISTINCT paper_id, source AS id, target AS other FROM edges UNION SELECT paper_id, target, source FROM edges)
 SELECT b.paper_id, b.id, n.type AS other_type, count(*) AS n FROM b JOIN nodes n ON n.paper_id = b.paper_id AND n.id = b.other GROUP BY 1, 2, 3""")
 def one_hop(spark, sf):
-    return g.neighbours(nodes(spark, sf), edges(spark, sf)).groupBy("paper_id", "id", "other_type").agg(F.count("*").alias("n"))
+    return g.neighbour_types(*graph(spark, sf))
 
 
 @query("a08_parallel_edges", G + " SELECT paper_id, source, target, type, min(id) AS id FROM edges GROUP BY 1, 2, 3, 4")
