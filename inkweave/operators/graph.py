@@ -122,18 +122,23 @@ def top_nodes(nodes: DataFrame, edges: DataFrame, most: int = m.MAX_SKELETON_NOD
 
 
 def two_hops(seeds: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node ids, edge ids) around seeds (paper_id, id): edges incident to the frontier of two rounds."""
-    ends = edges.select("paper_id", F.col("id").alias("edge_id"), "source", "target")
-    both = ends.select("paper_id", "edge_id", F.col("source").alias("id"), F.col("target").alias("other")).unionByName(ends.select("paper_id", "edge_id", F.col("target").alias("id"), F.col("source").alias("other")))
-    seen, frontier, met = seeds.select("paper_id", "id").distinct(), seeds.select("paper_id", "id").distinct(), None
-    for _ in range(2):
-        step = both.join(frontier, ["paper_id", "id"])
+    """(node ids, edge ids) around seeds (paper_id, id): edges incident to the frontier of two rounds. Each end is joined
+    with the frontier in a step of its own, so disk holds one shuffle of the edges."""
+    folder = shared_folder(edges.sparkSession)
+    seen = frontier = written(seeds.select("paper_id", "id").distinct(), folder, "seeds")
+    met = None
+    for n in range(2):
+        hits = []
+        for end, other in (("source", "target"), ("target", "source")):
+            step = edges.select("paper_id", F.col("id").alias("edge_id"), F.col(end).alias("id"), F.col(other).alias("other"))
+            hits.append(written(step.join(frontier, ["paper_id", "id"]).select("paper_id", "edge_id", "other"), folder, f"hits-{n}-{end}"))
+        step = hits[0].unionByName(hits[1])
         hit = step.select("paper_id", "edge_id")
         met = hit if met is None else met.unionByName(hit)
         reached = step.select("paper_id", F.col("other").alias("id")).distinct()
-        frontier = reached.join(seen, ["paper_id", "id"], "left_anti")
+        frontier = written(reached.join(seen, ["paper_id", "id"], "left_anti"), folder, f"frontier-{n}")
         seen = seen.unionByName(frontier)
-    return seen, met.distinct()
+    return seen, written(met.distinct(), folder, "met")
 
 
 def fold_leaves(nodes: DataFrame, edges: DataFrame, kinds: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:

@@ -123,7 +123,8 @@ n AS (SELECT paper_id, count(*) AS n_nodes FROM (SELECT * FROM seed UNION ALL SE
 e AS (SELECT paper_id, count(DISTINCT eid) AS n_edges FROM (SELECT paper_id, eid FROM s1 UNION ALL SELECT paper_id, eid FROM s2) GROUP BY 1)
 SELECT paper_id, n_nodes, coalesce(n_edges, 0) AS n_edges FROM n LEFT JOIN e USING (paper_id)""")
 def two_hop(spark, sf):
-    seen, met = g.two_hops(nodes(spark, sf).where("type = 'Method' and label like '%7'"), edges(spark, sf))
+    n, e = graph(spark, sf)
+    seen, met = g.two_hops(n.where("type = 'Method' and label like '%7'"), e)
     return seen.groupBy("paper_id").agg(F.count("*").alias("n_nodes")).join(met.groupBy("paper_id").agg(F.count("*").alias("n_edges")), "paper_id", "left").select("paper_id", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
