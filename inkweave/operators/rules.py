@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import model as m
+from ..shared import shared_folder, written
 from . import graph as g
 
 # Words of chunk titles in the order they are looked for, and per paradigm the node types they hide.
@@ -41,10 +42,13 @@ def edge_list_check(edges: DataFrame, nodes: DataFrame, order: str, types=m.STEM
     """(edges, of one id the first by `order`; per paper n_edges, the warning that names repeated ids, accepted)."""
     first = Window.partitionBy("paper_id", "id").orderBy(order)
     kept = edges.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-    again = edges.groupBy("paper_id", "id").count().where("count > 1").groupBy("paper_id").agg(F.concat(F.lit("DUPLICATE_EDGE_IDS_DEDUPLICATED:"), F.array_join(F.array_sort(F.collect_list("id")), ",")).alias("warning"))
+    # one shuffle of the edges: of each id how often it stands and its first edge
+    ids = edges.groupBy("paper_id", "id").agg(F.count("*").alias("n"), F.min_by(F.struct("source", "target", "type"), F.struct(order)).alias("e")).select("paper_id", "id", "n", "e.*")
+    ids = written(ids, shared_folder(edges.sparkSession), "ids")
+    again = ids.where("n > 1").groupBy("paper_id").agg(F.concat(F.lit("DUPLICATE_EDGE_IDS_DEDUPLICATED:"), F.array_join(F.array_sort(F.collect_list("id")), ",")).alias("warning"))
     odd = F.col("type").isin(*m.FORBIDDEN_EDGE_TYPES) | ~(F.col("type").isin(*types) | F.col("type").rlike(m.DYNAMIC_EDGE_TYPE))
-    count = kept.groupBy("paper_id").agg(F.count("*").alias("n_edges"), F.count(F.when(F.coalesce(odd, F.lit(True)), 1)).alias("n_odd"))
-    loose = g.endpoints(kept).join(nodes.select("paper_id", "id"), ["paper_id", "id"], "left_anti").select("paper_id").distinct().withColumn("loose", F.lit(True))
+    count = ids.groupBy("paper_id").agg(F.count("*").alias("n_edges"), F.count(F.when(F.coalesce(odd, F.lit(True)), 1)).alias("n_odd"))
+    loose = g.endpoints(ids).distinct().join(nodes.select("paper_id", "id"), ["paper_id", "id"], "left_anti").select("paper_id").distinct().withColumn("loose", F.lit(True))
     report = count.join(again, "paper_id", "left").join(loose, "paper_id", "left")
     return kept, report.select("paper_id", "n_edges", "warning", ((F.col("n_odd") == 0) & F.col("loose").isNull()).alias("accepted"))
 
